@@ -5,16 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorefold.llm.groups import connected_groups
+from lorefold.llm.neighbours import close_pairs
 from lorefold.sources.tables import table
 
+#: The model whose vectors are current.
+CURRENT_MODEL = "hashvec-384-r2"
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = table(spark, sf_dir, "projection_embeddings").filter(F.col("model_version") == CURRENT_MODEL)
+    return close_pairs(current, "entity_id", "entity_type", "embedding", dims=384, k=10, least=0.80)
+
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(table(spark, sf_dir, "projection_redirects"), "from_id", "to_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
 }
 
