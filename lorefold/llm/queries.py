@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorefold.llm.groups import connected_groups
 from lorefold.llm.neighbours import close_pairs
+from lorefold.llm.spam import spam_documents
 from lorefold.sources.tables import table
 
 #: The model whose vectors are current.
@@ -24,9 +25,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(table(spark, sf_dir, "projection_redirects"), "from_id", "to_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
+    "p9_found": p9_found,
 }
 
 ORACLE: dict[str, str] = {
