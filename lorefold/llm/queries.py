@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorefold.llm.groups import connected_groups
 from lorefold.llm.neighbours import close_pairs
+from lorefold.llm.packing import pack_documents, packing_report
 from lorefold.llm.spam import spam_documents
 from lorefold.sources.tables import table
 
@@ -25,6 +26,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(table(spark, sf_dir, "projection_redirects"), "from_id", "to_id")
 
 
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_containers"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(p7_packing(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_documents(table(spark, sf_dir, "documents"))
 
@@ -32,6 +41,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
+    "p7_packing": p7_packing,
+    "p7_fill": p7_fill,
     "p9_found": p9_found,
 }
 
