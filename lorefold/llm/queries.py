@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorefold.llm.groups import connected_groups
 from lorefold.llm.neighbours import close_pairs
+from lorefold.llm.mixing import mix_documents, mixture_shares
 from lorefold.llm.packing import pack_documents, packing_report
 from lorefold.llm.spam import spam_documents
 from lorefold.sources.tables import table
@@ -34,6 +35,14 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_packing(spark, sf_dir))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mixture_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_documents(table(spark, sf_dir, "documents"))
 
@@ -43,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p7_packing": p7_packing,
     "p7_fill": p7_fill,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
 }
 
