@@ -42,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and goes on from there.
 
     A reliable checkpoint: it outlives the loss of any executor and ends the lineage.
+    A checkpointed frame keeps the size the optimizer estimated for it, and a
+    join's estimate is the product of its sides': in loops it soon has millions
+    of digits. So the checkpointed rows are taken up without an estimate.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    rows = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return DataFrame(rows, spark)
