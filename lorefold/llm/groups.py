@@ -75,7 +75,7 @@ def _compress_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chains.select("v", "parent"), left
 
 
-def _roots(parents: DataFrame) -> DataFrame:
+def roots_of(parents: DataFrame) -> DataFrame:
     """Pointer doubling over a forest (v, parent): every removed vertex with its root."""
     parents = cut(parents)
     while True:
@@ -88,7 +88,7 @@ def _roots(parents: DataFrame) -> DataFrame:
 
 def _contract_core(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hangs every vertex below its smallest smaller neighbour and contracts the trees."""
-    roots = _roots(_ends(edges).filter("low < v").select("v", F.col("low").alias("parent")))
+    roots = roots_of(_ends(edges).filter("low < v").select("v", F.col("low").alias("parent")))
     left = (
         edges.join(roots.select(F.col("v").alias("a"), F.col("parent").alias("ra")), "a", "left")
         .join(roots.select(F.col("v").alias("b"), F.col("parent").alias("rb")), "b", "left")
@@ -136,6 +136,6 @@ def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
     forest = hung[0]
     for parents in hung[1:]:
         forest = forest.unionAll(parents)
-    labelled = cut(records.join(_roots(forest), "v", "left").select("v", F.coalesce("parent", "v").alias("root")))
+    labelled = cut(records.join(roots_of(forest), "v", "left").select("v", F.coalesce("parent", "v").alias("root")))
     smallest = labelled.groupBy("root").agg(F.min("v").alias("group_id"))
     return labelled.join(smallest, "root").select(F.col("v").alias("record_id"), "group_id")

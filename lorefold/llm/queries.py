@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorefold.llm.groups import connected_groups
+from lorefold.llm.names import link_names
 from lorefold.llm.neighbours import close_pairs
 from lorefold.llm.mixing import mix_documents, mixture_shares
 from lorefold.llm.packing import pack_documents, packing_report
@@ -27,6 +28,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(table(spark, sf_dir, "projection_redirects"), "from_id", "to_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_names(*(table(spark, sf_dir, n) for n in ("projection_entities", "projection_aliases", "adjudication_requests")))
+
+
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_containers"))
 
@@ -50,6 +55,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p7_packing": p7_packing,
     "p7_fill": p7_fill,
     "p8_mixture": p8_mixture,
