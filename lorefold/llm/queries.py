@@ -12,6 +12,7 @@ from lorefold.llm.names import link_names
 from lorefold.llm.neighbours import close_pairs
 from lorefold.llm.mixing import mix_documents, mixture_shares
 from lorefold.llm.packing import pack_documents, packing_report
+from lorefold.llm.pii import find_personal, occurrences, redact
 from lorefold.llm.spam import spam_documents
 from lorefold.sources.tables import table
 
@@ -28,6 +29,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(table(spark, sf_dir, "projection_redirects"), "from_id", "to_id")
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = table(spark, sf_dir, "projection_entities")
+    requests = table(spark, sf_dir, "adjudication_requests")
+    aliases = table(spark, sf_dir, "projection_aliases").join(entities.filter("entity_type = 'Person'").select("entity_id").distinct(), "entity_id", "left_semi")
+    listed = requests.select("entity_type", F.explode("candidates.name").alias("text"))
+    people = (
+        entities.filter("entity_type = 'Person'").select(F.col("name").alias("text")).unionAll(aliases.select("alias"))
+        .unionAll(requests.filter("entity_type = 'Person'").select("mention_text")).unionAll(listed.filter("entity_type = 'Person'").select("text"))
+    )
+    projects = entities.filter("entity_type = 'Project'").select(F.col("name").alias("text")).unionAll(listed.filter("entity_type = 'Project'").select("text"))
+    return find_personal(table(spark, sf_dir, "captures"), people, projects)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrences(_personal(spark, sf_dir))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_personal(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_names(*(table(spark, sf_dir, n) for n in ("projection_entities", "projection_aliases", "adjudication_requests")))
 
@@ -55,6 +77,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p7_packing": p7_packing,
     "p7_fill": p7_fill,
