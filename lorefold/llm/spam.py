@@ -131,6 +131,29 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
+_KEPT = ("doc_id", "language", "words", "links", "function_share", "separators", "repeated_lines")
+
+
+def _junk_share(segments: list[dict], links: int, function_limit: float, again_limit: float) -> float:
+    """The part of the characters in segments that are junk."""
+    read, sentences = [], 0
+    for s in segments:
+        words, content = s["words"], s["content"]
+        sentence = words >= 4 and s["function"] >= function_limit * words and words - s["function"] - content <= 0.3 * words
+        stuffed = content > 0 and s["again"] >= (again_limit if sentence else again_limit / 2) * content
+        sentences += sentence and not stuffed
+        read.append((s, sentence, stuffed))
+    annotated, junk, whole = sentences >= 0.7 * links, 0, 0
+    for s, sentence, stuffed in read:
+        whole += s["chars"]
+        if stuffed or 2 * s["tags"] > s["words"]:
+            junk += s["chars"]
+        elif not annotated:
+            bare = s["links"] > 0 and s["words"] < 4 * s["links"] and not sentence
+            junk += s["chars"] if bare else s["link_chars"]
+    return junk / max(1, whole)
+
+
 def spam_scores(documents: DataFrame) -> DataFrame:
     """(doc_id, language, junk_share, is_spam) of every document.
 
@@ -156,43 +179,21 @@ def spam_scores(documents: DataFrame) -> DataFrame:
         .select("language", share.alias("again"))
     )
     middle = sentences.groupBy("language").agg(F.percentile_approx("again", 0.5, 1000).alias("middle"), F.percentile_approx("again", 0.9, 1000).alias("high"))
-    limits = cut(usual.join(middle, "language", "left"))
-    part = F.col("function_limit")
-
-    def is_sentence(s):
-        figures = s.words - s.function - s.content
-        return (s.words >= 4) & (s.function >= part * s.words) & (figures <= 0.3 * s.words)
-
-    def stuffed(s):
-        again = s.again / F.greatest(s.content, F.lit(1))
-        wordy = is_sentence(s)
-        return (s.content > 0) & ((wordy & (again >= F.col("again_limit"))) | (~wordy & (again >= F.col("list_limit"))))
-
-    def junk(s):
-        bare = (s.links > 0) & (s.words < 4 * s.links) & ~is_sentence(s)
-        return (
-            F.when((2 * s.tags > s.words) | stuffed(s), s.chars)
-            .when(F.col("annotated"), 0)
-            .when(bare, s.chars)
-            .otherwise(s.link_chars)
-        )
-
-    total = lambda f: F.aggregate("segments", F.lit(0), lambda a, s: a + f(s))
-    deviation = (F.col("high") - F.col("middle")) / 1.2816
-    scored = (
-        features.join(F.broadcast(limits), "language", "left")
-        .withColumn("function_limit", SENTENCE_PART * F.coalesce("usual", F.lit(0.4)))
-        .withColumn("again_limit", F.least(F.greatest(F.coalesce(F.col("middle") + STUFFED_DEVIATIONS * deviation, F.lit(0.6)), F.lit(0.55)), F.lit(0.75)))
-        .withColumn("list_limit", F.col("again_limit") / 2)
-        .withColumn("sentences", total(lambda s: F.when(is_sentence(s) & ~stuffed(s), 1).otherwise(0)))
-        .withColumn("annotated", F.col("sentences") >= 0.7 * F.col("links"))
-    )
-    return scored.select(
-        "doc_id", "language", (total(junk) / F.greatest(total(lambda s: s.chars), F.lit(1))).alias("junk_share"),
-        "words", "links", "separators", "repeated_lines",
-        "function_share",
-        "again_limit",
-    ).withColumn(
+    limits = {
+        r.language: (SENTENCE_PART * r.usual, min(max(r.middle + STUFFED_DEVIATIONS * (r.high - r.middle) / 1.2816, 0.55), 0.75) if r.middle is not None else 0.6)
+        for r in usual.join(middle, "language", "left").collect()  # a row for each language
+    }
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = []
+            for language, links, segments in zip(*(batch.column(n).to_pylist() for n in ("language", "links", "segments")), strict=True):
+                function_limit, again_limit = limits.get(language, (SENTENCE_PART * 0.4, 0.6))
+                shares.append(_junk_share(segments, links, function_limit, again_limit))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in _KEPT), pa.array(shares, pa.float64())], names=[*_KEPT, "junk_share"])
+
+    scored = features.select(*_KEPT, "segments").mapInArrow(judge, "doc_id bigint, language string, words int, links int, function_share double, separators double, repeated_lines double, junk_share double")
+    return scored.withColumn(
         "is_spam", (F.col("words") + LINK_WORDS * F.col("links") >= LEAST_WORDS) & (F.col("junk_share") >= LEAST_SHARE)
     )
 
