@@ -61,13 +61,18 @@ _WORD = re.compile(r"[^\W_]+")
 _SEPARATOR = re.compile(r"[,;|·•/>»]| [-–—] |\n")
 _SPLIT = re.compile(r"\n+|(?<=[.!?])[\"»”)]?\s+")
 
-_SEGMENT = "struct<chars:int,links:int,link_chars:int,words:int,function:int,content:int,again:int,tags:int>"
-_SCHEMA = f"doc_id bigint, language string, words int, links int, function_share double, separators double, repeated_lines double, segments array<{_SEGMENT}>"
+#: Counts of a segment, in the order in which they stand in ``segments``.
+_COUNTS = ("chars", "links", "link_chars", "words", "function", "content", "again", "tags")
+_SCHEMA = (
+    "doc_id bigint, language string, words int, links int, function_share double, separators double, repeated_lines double, "
+    "segments array<int>, function_shares array<float>, again_shares array<float>"
+)
 _ARROW = pa.schema([
     ("doc_id", pa.int64()), ("language", pa.string()), ("words", pa.int32()), ("links", pa.int32()), ("function_share", pa.float64()),
-    ("separators", pa.float64()), ("repeated_lines", pa.float64()),
-    ("segments", pa.list_(pa.struct([(n, pa.int32()) for n in ("chars", "links", "link_chars", "words", "function", "content", "again", "tags")]))),
+    ("separators", pa.float64()), ("repeated_lines", pa.float64()), ("segments", pa.list_(pa.int32())),
+    ("function_shares", pa.list_(pa.float32())), ("again_shares", pa.list_(pa.float32())),
 ])
+_LINK_SIGNS = ("/", "www.", ".com", ".example", ".invalid", ".net", ".org", ".test", "](")
 
 
 def _said_again(words: list[str]) -> list[bool]:
@@ -89,35 +94,39 @@ def _said_again(words: list[str]) -> list[bool]:
     return again
 
 
-def text_features(text: str) -> dict:
-    """Shares and segments of one text; the segments are its lines and sentences."""
-    links = 0
+def text_features(text: str) -> tuple:
+    """Language, shares and the counts of the segments of one text; the segments are its lines and sentences."""
     pieces: list[tuple[str, int, int]] = []
+    links = 0
     for part in _SPLIT.split(text):
         if part and not part.isspace():
-            found = _LINK.findall(part)
+            low = part.lower()
+            found = _LINK.findall(part) if any(map(low.__contains__, _LINK_SIGNS)) else ()
             links += len(found)
-            pieces.append((_LINK.sub(" ", part) if found else part, len(found), sum(map(len, found))))
-    per_piece = [[w.lower() for w in _WORD.findall(rest)] for rest, _, _ in pieces]
-    words = [w for ws in per_piece for w in ws]
-    counts = Counter(words)
-    scores = {name: sum(counts[w] for w in known) for name, known in FUNCTION_WORDS.items()}
+            pieces.append((_LINK.sub(" ", low) if found else low, len(found), sum(map(len, found))))
+    per_piece = [_WORD.findall(rest) for rest, _, _ in pieces]
+    counts = Counter(w for ws in per_piece for w in ws)
+    scores = {name: sum(map(counts.__getitem__, known & counts.keys())) for name, known in FUNCTION_WORDS.items()}
     language = max(scores, key=scores.get)
-    known = FUNCTION_WORDS[language]
-    content = [w for w in words if w not in known and not w.isdigit()]
-    again = iter(_said_again(content))
-    segments = []
-    for (rest, n, chars), ws in zip(pieces, per_piece, strict=True):
-        function = sum(w in known for w in ws)
-        own = sum(w not in known and not w.isdigit() for w in ws)
-        repeated = sum(next(again) for _ in range(own))
-        tags = sum(x[0] == "#" and len(x) > 2 for x in rest.split())
-        segments.append(dict(chars=len(rest.strip()) + chars, links=n, link_chars=chars, words=len(ws), function=function, content=own, again=repeated, tags=tags))
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    return dict(
-        language=language, words=len(words), links=links, function_share=scores[language] / max(1, len(words)),
-        separators=len(_SEPARATOR.findall(text)) / max(1, len(words)),
-        repeated_lines=1 - len(set(lines)) / max(1, len(lines)), segments=segments,
+    known = FUNCTION_WORDS[language].__contains__
+    own = [[w for w in ws if not known(w) and not w.isdigit()] for ws in per_piece]
+    again = _said_again([w for ws in own for w in ws])
+    segments: list[int] = []
+    function_shares, again_shares = [], []
+    at = words = 0
+    for (rest, n, chars), ws, content in zip(pieces, per_piece, own, strict=True):
+        function, repeated = sum(map(known, ws)), sum(again[at : at + len(content)])
+        at += len(content)
+        words += len(ws)
+        tags = sum(x[0] == "#" and len(x) > 2 for x in rest.split()) if "#" in rest else 0
+        segments += (len(rest.strip()) + chars, n, chars, len(ws), function, len(content), repeated, tags)
+        if len(ws) >= 5:
+            function_shares.append(function / len(ws))
+            again_shares.append(repeated / max(1, len(content)))
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    return (
+        language, words, links, scores[language] / max(1, words), len(_SEPARATOR.findall(text)) / max(1, words), 1 - len(set(lines)) / max(1, len(lines)),
+        segments, function_shares, again_shares,
     )
 
 
@@ -125,32 +134,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             b = batch.slice(at, 512)
-            rows = [text_features(x or "") for x in b.column("text").to_pylist()]
-            for row, name in zip(rows, b.column("doc_id").to_pylist(), strict=True):
-                row["doc_id"] = name
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            if b.num_rows:
+                columns = zip(*(text_features(x or "") for x in b.column("text").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(_ARROW)[1:], strict=True))], schema=_ARROW)
 
 
 _KEPT = ("doc_id", "language", "words", "links", "function_share", "separators", "repeated_lines")
 
 
-def _junk_share(segments: list[dict], links: int, function_limit: float, again_limit: float) -> float:
+def _junk_share(segments: list[int], links: int, function_limit: float, again_limit: float) -> float:
     """The part of the characters in segments that are junk."""
     read, sentences = [], 0
-    for s in segments:
-        words, content = s["words"], s["content"]
-        sentence = words >= 4 and s["function"] >= function_limit * words and words - s["function"] - content <= 0.3 * words
-        stuffed = content > 0 and s["again"] >= (again_limit if sentence else again_limit / 2) * content
+    for i in range(0, len(segments), len(_COUNTS)):
+        chars, n, link_chars, words, function, content, again, tags = segments[i : i + len(_COUNTS)]
+        sentence = words >= 4 and function >= function_limit * words and words - function - content <= 0.3 * words
+        stuffed = content > 0 and again >= (again_limit if sentence else again_limit / 2) * content
         sentences += sentence and not stuffed
-        read.append((s, sentence, stuffed))
+        read.append((chars, link_chars, stuffed or 2 * tags > words, n > 0 and words < 4 * n and not sentence))
     annotated, junk, whole = sentences >= 0.7 * links, 0, 0
-    for s, sentence, stuffed in read:
-        whole += s["chars"]
-        if stuffed or 2 * s["tags"] > s["words"]:
-            junk += s["chars"]
+    for chars, link_chars, stuffed, bare in read:
+        whole += chars
+        if stuffed:
+            junk += chars
         elif not annotated:
-            bare = s["links"] > 0 and s["words"] < 4 * s["links"] and not sentence
-            junk += s["chars"] if bare else s["link_chars"]
+            junk += chars if bare else link_chars
     return junk / max(1, whole)
 
 
@@ -170,13 +177,12 @@ def spam_scores(documents: DataFrame) -> DataFrame:
     same result; rows with a null id keep it. An empty table gives no rows.
     """
     features = cut(documents.select("doc_id", "text").mapInArrow(_features, _SCHEMA))
-    share = F.col("s.again") / F.greatest("s.content", F.lit(1))
-    usual = features.filter("words >= 30").groupBy("language").agg(F.percentile_approx("function_share", 0.5, 1000).alias("usual"), F.percentile_approx("separators", 0.5, 1000).alias("usual_separators"))
+    usual = features.filter("words >= 30").groupBy("language").agg(F.percentile_approx("function_share", 0.5, 1000).alias("usual"))
     usual = cut(usual)  # a row for each language
     sentences = (
-        features.filter("words >= 30").join(F.broadcast(usual), "language").select("language", "usual", F.explode("segments").alias("s"))
-        .filter((F.col("s.words") >= 5) & (F.col("s.function") >= SENTENCE_PART * F.col("usual") * F.col("s.words")))
-        .select("language", share.alias("again"))
+        features.filter("words >= 30").join(F.broadcast(usual), "language")
+        .select("language", "usual", F.explode(F.arrays_zip("function_shares", "again_shares")).alias("s"))
+        .filter(F.col("s.function_shares") >= SENTENCE_PART * F.col("usual")).select("language", F.col("s.again_shares").alias("again"))
     )
     middle = sentences.groupBy("language").agg(F.percentile_approx("again", 0.5, 1000).alias("middle"), F.percentile_approx("again", 0.9, 1000).alias("high"))
     limits = {
