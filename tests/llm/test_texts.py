@@ -5,7 +5,6 @@ from lorefold.llm.pii import find_personal, occurrences, redact, surface_spans
 from lorefold.llm.spam import spam_documents, spam_scores
 
 
-
 def prose(n):
     """n sentences of different words."""
     return " ".join(f"We met {chr(97 + i % 26)}nna{i}berg at the s{i}tation and t{i}alked about her p{i}lan." for i in range(n))
@@ -23,7 +22,7 @@ def test_spam(spark):
     }
     fine = {
         20: prose(6), 21: "yoga mat", 22: "survey\n- archive\n- contract\n- report\n- van\n- packing list\n- price table\n- guest list\n- menu", 23: "Anna, Bert, Carla, David, Emil, Frida, Gustav, Hanna, Ivan, Jonas, Karla, Lena",
-        24: "\n".join(f"We read about the plan for room {i} and liked it. https://notes.example/{i}" for i in range(6)), 25: "", 26: None, 27: prose(800),
+        24: "\n".join(f"{s}. https://notes.example/{i}" for i, s in enumerate(prose(6).split(". "))), 25: "", 26: None, 27: prose(800),
     }
     rows = [(i, t, "x") for i, t in [*cases.items(), *fine.items()]] + [(7, cases[1], "copy"), (None, cases[1], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, language string")
