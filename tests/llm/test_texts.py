@@ -63,6 +63,18 @@ def test_names_in_notes(spark):
     assert texts["c0"] == "Call [PERSON_NAME] back on [PHONE]."
 
 
+@pytest.mark.parametrize("others", [0, 7_000])
+def test_unlisted_surname(spark, others):
+    """A surname that no list has is learned from its contexts, however frequent it is and however many words the corpus has."""
+    people = [(f"{g} {s}",) for g in ("Bernard", "Anna", "Clara", "Quentin") for s in ("Feningoreira", "Skelpelaraux", "Bramfliet", "Ostcaminoglu")]
+    notes = [f"Call {n} back on Monday" for (n,) in people] + [f"Call {g} Wolkenbrettig back on Monday" for g in ("Bernard", "Anna", "Clara")] * 2 + ["Then Wolkenbrettig agreed to the plan"]
+    fill = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) + "qulum" for i in range(others)]
+    rows = [(f"c{i:02}", t, None) for i, t in enumerate(notes)] + [(f"f{i}", " ".join(fill[i : i + 20]), None) for i in range(0, others, 20)]
+    found = find_personal(spark.createDataFrame(rows, "capture_id string, raw_text string, corrected_text string"), spark.createDataFrame(people, "text string"), spark.createDataFrame([("Levcepexus Survey Launch",)], "text string"))
+    got = {(r.capture_id, r.pii_kind, r.start_pos) for r in occurrences(found).collect()}
+    assert got == {(f"c{i:02}", "person_name", 5) for i in range(len(notes))}
+
+
 def test_parse():
     lexicon = Lexicon(["christopher", "quentin", "augustine"], {})
     for text in ("Quentin Feningoreira", "FENINGOREIRA, Quentin", "Dr Quentin K. Fening-oreira", "quentin fenin goreira"):
