@@ -1,6 +1,9 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from lorefold.llm.names import Lexicon, link_names, parse, skeleton
+from lorefold.llm.names import Lexicon, keys_of, keys_to, link_names, parse, skeleton
 from lorefold.llm.pii import find_personal, occurrences, redact, surface_spans
 from lorefold.llm.spam import spam_documents, spam_scores
 
@@ -100,3 +103,29 @@ def test_linked_names(spark):
     want = {(a, b) for a in cluster for b in cluster if a < b} | {tuple(sorted((e, r))) for e in cluster for r in ("r0", "q1")} | {tuple(sorted((f"e{i:02}", f"r{i}"))) for i in range(1, len(people))}
     assert got == want
     assert link_names(*(d.limit(0) for d in (spark.createDataFrame(entities, "entity_id string, entity_type string, name string"), spark.createDataFrame(aliases, "entity_id string, alias string"), spark.createDataFrame(asked, "request_id string, entity_type string, mention_text string, candidates array<struct<name:string,summary:string>>")))).count() == 0
+
+
+def test_two_edits_meet(spark):
+    """Every pair within the edits allowed shares a key, wherever the edits are."""
+    rng = random.Random(3)
+    rows = []
+    for n in [*range(1, 16)] * 60:
+        a = b = "".join(rng.choices("abcd", k=n))
+        for _ in range(rng.randint(0, 2 if n >= 6 else 1)):
+            i = rng.randrange(len(b) + 1)
+            b = rng.choice((b[:i] + rng.choice("abcd") + b[i:], b[:i] + b[i + 1 :], b[:i] + rng.choice("abcd") + b[i + 1 :]))
+        rows += [(a, b)] if b else []
+    pairs = spark.createDataFrame(rows, "a string, b string")
+    assert [tuple(r) for r in pairs.filter(~F.arrays_overlap(keys_of("a"), keys_to("b"))).collect()] == []
+
+
+def test_edits_at_both_ends(spark):
+    given = ["Benjamin", "Anna", "Bernard", "Clara"]
+    people = [f"{g} {s}" for g in given for s in ("Belprieaini", "Skelpelaraux", "Bramflietwell", "Ostcaminoglu")]
+    entities = [(f"e{i:02}", "Person", n) for i, n in enumerate(people)] + [("x", "Person", "Benjamin Beprieaibi")]
+    asked = [(f"r{i}", "Person", n, None) for i, n in enumerate(people)]
+    pairs = link_names(
+        spark.createDataFrame(entities, "entity_id string, entity_type string, name string"), spark.createDataFrame([], "entity_id string, alias string"),
+        spark.createDataFrame(asked, "request_id string, entity_type string, mention_text string, candidates array<struct<name:string,summary:string>>"),
+    )
+    assert {tuple(r) for r in pairs.collect()} == {(f"e{i:02}", f"r{i}") for i in range(len(people))} | {("e00", "x"), ("r0", "x")}
