@@ -39,8 +39,8 @@ class Engine:
         return captures.without_event(self._table("captures"), self._table("event_log"))
 
     def entity_view(self, entity_id: str) -> DataFrame:
-        """The fields an entity holds, with the event each value comes from."""
-        return fold.fold_fields(self.events().filter(F.col("aggregate_id") == entity_id))
+        """The fields an entity holds, with the event each value comes from; what it absorbed in merges is among them."""
+        return fold.fold_fields(self.events()).filter(F.col("entity_id") == entity_id)
 
     def relations_of(self, entity_id: str) -> DataFrame:
         return fold.fold_relations(self.events()).filter((F.col("from_id") == entity_id) | (F.col("to_id") == entity_id))
@@ -52,13 +52,13 @@ class Engine:
         return search.search(captures.effective_text(self._table("captures")).withColumnRenamed("capture_id", "doc_key"), query, limit)
 
     def search_entities(self, query: str, limit: int = 20) -> DataFrame:
-        held = fold.fold_fields(self.events()).filter(F.col("value").startswith("s:"))
-        texts = held.groupBy(F.col("entity_id").alias("doc_key")).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("position", F.substring("value", 3, 1 << 20).alias("v")))), lambda r: r["v"])).alias("text"))
-        return search.search(texts, query, limit)
+        return search.search(reads.entity_texts(self.events()), query, limit)
 
     def rank(self, now: datetime, k: int = 20) -> DataFrame:
-        """The most salient entities at ``now``."""
-        return salience.rank(salience.salience_terms(reads.salient_entities(self.events(), self._now(now)), self._now(now)), k)
+        """The most salient entities at ``now``, people by what they are related to."""
+        at = self._now(now)
+        scored = salience.salience_terms(reads.salient_entities(self.events(), at), at)
+        return salience.rank(salience.with_association(scored, fold.fold_relations(self.events())), k)
 
     def daily_brief(self, now: datetime) -> DataFrame:
         """(heading, prose) of the day's sections."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -41,18 +42,51 @@ def note_of(field: Column, value: Column) -> Column:
     return F.concat(field, F.lit(": "), F.coalesce(value, F.lit("null")))
 
 
+def _plain_letters() -> dict[str, str]:
+    """Every letter of the basic plane that is one letter with marks, and that letter."""
+    out = {}
+    for cp in range(0xC0, 0x10000):
+        base = [c for c in unicodedata.normalize("NFD", chr(cp)) if not unicodedata.combining(c)]
+        if len(base) == 1 and base[0] != chr(cp) and chr(cp).isalpha():
+            out[chr(cp)] = base[0]
+    return out
+
+
+_PLAIN = _plain_letters()
+_FROM, _TO = "".join(_PLAIN), "".join(_PLAIN.values())
+_TABLE = str.maketrans(_PLAIN)
+
+
+def fold_letters(text: str) -> str:
+    """Lower case without accents: what ``folded`` makes of a column."""
+    return re.sub("[\u0300-\u036f]+", "", text.lower().translate(_TABLE))
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents, whether they are part of a letter or follow it."""
+    return F.regexp_replace(F.translate(F.lower(text), _FROM, _TO), "[\u0300-\u036f]+", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case letter and number runs without accents, in order."""
-    folded = F.translate(F.lower(text), "áàâäãåéèêëíìîïóòôöõúùûüñçýÿø", "aaaaaaeeeeiiiiooooouuuuncyyo")
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}\p{M}]+"), lambda t: t != "")
-
-
-def proper_name_runs(prose: Column) -> Column:
-    """Runs of capitalised words of three letters or more, apart from sentence starts and calendar words."""
-    inner = F.regexp_replace(prose, r"(^|[.!?]\s+)[A-Z][a-z]*", "$1")
-    runs = F.regexp_extract_all(inner, F.lit(r"\b([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*)\b"), 1)
-    calendar = F.array(*map(F.lit, (
-        "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August "
-        "September October November December".split()
-    )))
-    return F.array_distinct(F.filter(runs, lambda r: ~F.array_contains(calendar, r)))
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}\p{M}]+"), lambda t: t != "")
+
+
+# Words that ordinary prose capitalises without naming anyone.
+CAPITALISED = (
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october "
+    "november december today tomorrow yesterday"
+).split()
+
+
+def proper_name_runs(prose: Column, ignored: tuple[str, ...] = ()) -> Column:
+    """Runs of capitalised words of three letters or more that don't begin a sentence, each run whole and once.
+
+    The first capital of the text, and one after ``. ! ? :`` or a line end, is
+    taken away, so a name at the start of a sentence loses its first word only.
+    A run is left out if all its words are calendar words or ``ignored``.
+    """
+    inner = F.regexp_replace(prose, r"(^|[.!?:\n]\s*)[A-Z]", "$1")
+    runs = F.regexp_extract_all(inner, F.lit(r"(?<![A-Za-z0-9_])[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*(?![A-Za-z0-9_])"), 0)
+    plain = F.array(*map(F.lit, (*CAPITALISED, *(w.lower() for w in ignored))))
+    return F.array_distinct(F.filter(runs, lambda r: F.size(F.array_except(F.split(F.lower(r), r"\s+"), plain)) > 0))

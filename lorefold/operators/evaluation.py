@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorefold.session import cut
+
+#: Ranges that the values of a group are counted by.
+RANGES = 64
+
 
 def ratio(part: Column, whole: Column, empty: float) -> Column:
     return F.when(whole == 0, F.lit(empty)).otherwise(part / whole)
@@ -46,14 +51,22 @@ def resolution_metrics(rows: DataFrame) -> DataFrame:
 def percentile_by_rank(rows: DataFrame, group: str, value: str, fractions: dict[str, float]) -> DataFrame:
     """The values at index floor(n * fraction) of each group's sorted values.
 
-    From counts of distinct values, so no group is gathered in one place as a whole.
+    Counts of distinct values are summed up by ranges first, then within the
+    one range of each group that holds the place, so no group passes through
+    one task as a whole.
     """
-    from pyspark.sql import Window
-
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    up = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(group).orderBy(value))).withColumn("all", F.sum("n").over(Window.partitionBy(group)))
-    at = lambda f: F.min(F.when(F.col("upto") > F.floor(F.col("all") * f), F.col(value)))
-    return up.groupBy(group).agg(*[at(f).alias(name) for name, f in fractions.items()])
+    counted = cut(rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")))
+    parts = [i / RANGES for i in range(1, RANGES)]
+    bounds = counted.groupBy(group).agg(F.percentile_approx(value, parts, 10_000).alias("bounds"), F.sum("n").alias("all"))
+    ranged = cut(counted.join(bounds, F.col(group).eqNullSafe(bounds[group])).select(counted[group], value, "n", "all", F.size(F.filter("bounds", lambda b: b < F.col(value))).alias("range")))
+    sizes = ranged.groupBy(group, "range").agg(F.sum("n").alias("in_range"), F.first("all").alias("all"))  # RANGES rows of a group at most
+    before = sizes.withColumn("before", F.sum("in_range").over(Window.partitionBy(group).orderBy("range")) - F.col("in_range"))
+    places = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("all") * f).alias("place")) for name, f in fractions.items()]))
+    wanted = before.select(F.col(group).alias("g"), F.col("range").alias("r"), "before", "in_range", places.alias("p")).filter((F.col("p.place") >= F.col("before")) & (F.col("p.place") < F.col("before") + F.col("in_range")))
+    inside = ranged.withColumn("upto", F.sum("n").over(Window.partitionBy(group, "range").orderBy(value)))
+    found = inside.join(wanted, F.col(group).eqNullSafe(F.col("g")) & (F.col("range") == F.col("r"))).filter(F.col("before") + F.col("upto") > F.col("p.place"))
+    picked = found.groupBy(group, F.col("p.name").alias("name")).agg(F.min(value).alias("v"))
+    return picked.groupBy(group).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in fractions])
 
 
 def attention_signal(surfaced: DataFrame, opens: DataFrame) -> DataFrame:
@@ -92,3 +105,26 @@ def greedy_matches(expected: DataFrame, actual: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["case_id", "expected_at", "actual_at"])
 
     return expected.groupBy("case_id").cogroup(actual.groupBy("case_id")).applyInPandas(match, "case_id string, expected_at long, actual_at long")
+
+
+def contains_noun(text: Column, noun: Column) -> Column:
+    """Whether ``noun`` stands in the text as a word of its own, in any case; word characters are the ASCII ones."""
+    word = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    escaped = F.regexp_replace(noun, r"([\\\^$.|?*+()\[\]{}\-])", r"\\$1")
+    return F.regexp_like(text, F.concat(F.lit("(?iu)" + word), escaped, F.lit(word)))
+
+
+def noun_recall(rows: DataFrame) -> DataFrame:
+    """(expected, heard, recall) of (text, noun): the part of proper nouns that a transcript kept; 0 of none."""
+    total = rows.agg(F.count(F.lit(1)).alias("expected"), F.count_if(contains_noun(F.col("text"), F.col("noun"))).alias("heard"))
+    return total.select("expected", "heard", ratio(F.col("heard"), F.col("expected"), 0.0).alias("recall"))
+
+
+def thresholds_for(models: DataFrame, measured: DataFrame, auto_from: float, review_from: float) -> DataFrame:
+    """Models (provider, model_version) with their measured thresholds (model, auto_from, review_from), or the usual ones.
+
+    A model is addressed as provider/model_version.
+    """
+    keyed = models.withColumn("model", F.concat_ws("/", "provider", "model_version"))
+    own = measured.select("model", F.col("auto_from").alias("a"), F.col("review_from").alias("r"))
+    return keyed.join(own, "model", "left").select(*models.columns, "model", F.coalesce("a", F.lit(auto_from)).alias("auto_from"), F.coalesce("r", F.lit(review_from)).alias("review_from"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorefold.operators.entity_changes import value_key
 from lorefold.operators.event_store import first_deliveries
 from lorefold.session import cut
 
+_KEY = ("aggregate_id", "life")
+
 KNOWLEDGE = ("EntityCreated", "FieldSet", "SetMemberAdded", "FieldCleared", "EntitiesRelated", "EntitiesMerged")
-# Fields that accumulate; all others are superseded.
+WRITES = ("EntityCreated", "FieldSet", "SetMemberAdded", "FieldCleared")
+# Fields that accumulate, and the one type whose entities alone have contacts; all others are superseded.
 SET_FIELDS = ("aliases", "notes", "contact")
+CONTACT_TYPE = "Person"
+NOTES = "notes"
 
 
 def read_log(log: DataFrame) -> DataFrame:
@@ -37,88 +41,220 @@ def read_log(log: DataFrame) -> DataFrame:
     )
 
 
-def created(events: DataFrame) -> DataFrame:
-    """(aggregate_id, entity_type, created_at_position): the first creation of each entity; later ones are ignored."""
-    return events.filter("type = 'EntityCreated' AND field IS NOT NULL").groupBy("aggregate_id").agg(
-        F.min_by("entity_type", "position").alias("entity_type"), F.min("position").alias("created_position")
+def valid_merges(events: DataFrame) -> DataFrame:
+    """(position, event_id, survivor, loser): merges whose two sides were live and different at the time.
+
+    Existence depends on creations and merges alone. An entity is live from a
+    creation until a valid merge takes it; a merge is valid if both are. The
+    rounds settle all merges whose earlier ones are settled; there are as many
+    as the longest chain of merges that depend on each other.
+    """
+    merges = cut(events.filter("merged_id IS NOT NULL AND merged_id <> aggregate_id").select("position", "event_id", F.col("aggregate_id").alias("survivor"), F.col("merged_id").alias("loser")))
+    sides = merges.select("event_id", "position", F.explode(F.array("survivor", "loser")).alias("id"))
+    births = events.filter("type = 'EntityCreated' AND field IS NOT NULL").select(F.col("aggregate_id").alias("id"), F.col("position").alias("p"))
+    # creations of ids that are merged; of each side the last creation before the merge
+    born = cut(
+        births.join(sides, "id").filter("p < position").groupBy("event_id", "position", "id").agg(F.max("p").alias("born"))
+    )
+    both = born.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("event_id")
+    base, born = merges.join(both, "event_id"), cut(born.join(both, "event_id"))
+    valid, seen = base, None
+    while True:
+        taken = valid.groupBy(F.col("loser").alias("id")).agg(F.collect_list("position").alias("deaths"))
+        last = F.array_max(F.filter("deaths", lambda d: d < F.col("position")))
+        dead = born.join(taken, "id", "left").filter(F.coalesce(last > F.col("born"), F.lit(False))).select("event_id")
+        valid = cut(base.join(dead.distinct(), "event_id", "left_anti"))
+        state = valid.agg(F.count(F.lit(1)), F.sum(F.xxhash64("event_id").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return valid.select("position", "event_id", "survivor", "loser")
+        seen = state
+
+
+def fates(merges: DataFrame) -> DataFrame:
+    """(id, fates): for each id that was merged away, array<struct<position, final_id>>, earliest first.
+
+    ``final_id`` is where what the id was leads to in the end: to the survivor,
+    and on along the merges that take that one later. Walked by doubling.
+    """
+    later = merges.select(F.col("event_id").alias("next"), F.col("loser").alias("survivor"), F.col("position").alias("p"))
+    walk = cut(
+        merges.join(later, "survivor", "left").withColumn("hit", F.when(F.col("p") > F.col("position"), F.struct("p", "next")))
+        .groupBy("event_id", "loser", "position", "survivor").agg(F.min("hit").alias("hit"))
+        .select("event_id", "loser", "position", F.col("survivor").alias("final_id"), F.col("hit.next").alias("next"))
     )
+    while not walk.filter("next IS NOT NULL").isEmpty():
+        on = walk.select(F.col("event_id").alias("next"), F.col("final_id").alias("further"), F.col("next").alias("beyond"))
+        walk = cut(walk.join(on, "next", "left").select("event_id", "loser", "position", F.coalesce("further", "final_id").alias("final_id"), F.col("beyond").alias("next")))
+    return walk.groupBy(F.col("loser").alias("id")).agg(F.sort_array(F.collect_list(F.struct("position", "final_id"))).alias("fates"))
+
+
+def _lives(rows: DataFrame, merges: DataFrame) -> DataFrame:
+    """``rows`` (aggregate_id, position) with ``life``: how often the id had been merged away before."""
+    deaths = merges.groupBy(F.col("loser").alias("aggregate_id")).agg(F.collect_list("position").alias("deaths"))  # one each time the id was merged away
+    return rows.join(deaths, "aggregate_id", "left").withColumn("life", F.coalesce(F.size(F.filter("deaths", lambda d: d < F.col("position"))), F.lit(0))).drop("deaths")
+
+
+def births(events: DataFrame, merges: DataFrame) -> DataFrame:
+    """(aggregate_id, life, entity_type, created_position): the creation that counts of every life."""
+    creations = events.filter("type = 'EntityCreated' AND field IS NOT NULL").select("aggregate_id", "position", "entity_type")
+    return _lives(creations, merges).groupBy(*_KEY).agg(F.min_by("entity_type", "position").alias("entity_type"), F.min("position").alias("created_position"))
+
 
+def survivors(lives: DataFrame, merges: DataFrame) -> DataFrame:
+    """The ``lives`` that no merge has ended."""
+    ended = merges.groupBy(F.col("loser").alias("aggregate_id")).agg(F.count(F.lit(1)).alias("ended"))
+    return lives.join(ended, "aggregate_id", "left").filter(F.col("life") == F.coalesce("ended", F.lit(0))).drop("ended")
 
-def effective_rows(events: DataFrame) -> DataFrame:
-    """Field events that touch a live entity: the creation (as a write of ``name``) and what follows it."""
-    writes = events.filter(F.col("type").isin("EntityCreated", "FieldSet", "SetMemberAdded", "FieldCleared") & F.col("field").isNotNull())
-    return writes.join(created(events), "aggregate_id").filter(
+
+def created(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """(aggregate_id, entity_type, created_position): entities that exist, by their first creation since they last didn't."""
+    merges = valid_merges(events) if merges is None else merges
+    return survivors(births(events, merges), merges).select("aggregate_id", "entity_type", "created_position")
+
+
+def effective_rows(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """Field events that touch a live entity: the creation (as a write of ``name``) and what follows it, with the ``life`` they fall in."""
+    merges = valid_merges(events) if merges is None else merges
+    writes = _lives(events.filter(F.col("type").isin(*WRITES) & F.col("field").isNotNull()), merges)
+    return writes.join(births(events, merges), [*_KEY]).filter(
         (F.col("position") > F.col("created_position")) & (F.col("type") != "EntityCreated") | (F.col("position") == F.col("created_position"))
-    ).select("aggregate_id", "field", "value", "type", "position", "event_id", "recorded_at")
+    ).select("aggregate_id", "life", "field", "value", "type", "position", "event_id", "recorded_at")
 
 
-def fold_fields(events: DataFrame) -> DataFrame:
-    """(entity_id, field, value, event_id, position): every value held at the end, in log order by position.
+def _final_epochs(rows: DataFrame) -> DataFrame:
+    """Rows since the last reset of their field in their life, less clears."""
+    resets = rows.filter("type <> 'SetMemberAdded'").groupBy(*_KEY, "field").agg(F.max("position").alias("reset"))
+    return rows.join(resets, [*_KEY, "field"], "left").filter((F.col("reset").isNull() | (F.col("position") >= F.col("reset"))) & (F.col("type") != "FieldCleared"))
 
-    The last reset (creation, set or clear) of a field starts its final epoch;
-    what a set then gained counts once. Only aggregates with map-side combine:
-    no entity, however large, has to pass through one task.
+
+def _held(rows: DataFrame) -> DataFrame:
+    """(aggregate_id, life, field, value, position, event_id, pointer): values held at the end of a life, in log order by position."""
+    kept = _final_epochs(rows).groupBy(*_KEY, "field", "value").agg(F.min("position").alias("position"), F.min_by("event_id", "position").alias("event_id"), F.min_by("pointer", "position").alias("pointer"))
+    return kept
+
+
+def _settle(rows: DataFrame, births: DataFrame) -> DataFrame:
+    """Absorbed values turned into writes, members and notes of the survivor.
+
+    A field the survivor lacks is taken over whole; set fields are joined; a
+    single value stays, and a different one of the loser's becomes a note. Only
+    fields that a merge touches pass through the windows here.
     """
-    rows = effective_rows(events)
-    resets = rows.filter("type <> 'SetMemberAdded'").groupBy("aggregate_id", "field").agg(F.max("position").alias("reset"))
-    kept = rows.join(resets, ["aggregate_id", "field"], "left").filter(
-        (F.col("reset").isNull() | (F.col("position") >= F.col("reset"))) & (F.col("type") != "FieldCleared")
+    touched = rows.filter("type = 'Absorbed'").select(*_KEY, "field").distinct()
+    plain = rows.join(touched, [*_KEY, "field"], "left_anti")
+    along = Window.partitionBy(*_KEY, "field").orderBy("position")
+    before = F.last("type").over(along.rangeBetween(Window.unboundedPreceding, -1))
+    mixed = rows.join(touched, [*_KEY, "field"]).join(births.select(*_KEY, "entity_type"), [*_KEY], "left")
+    mixed = mixed.withColumn("lacks", before.isNull() | (before == "FieldCleared")).withColumn("taken", (F.col("type") == "Absorbed") & F.col("lacks"))
+    resets = ~F.col("type").isin("SetMemberAdded", "Absorbed") | F.col("taken")
+    mixed = mixed.withColumn("epoch", F.sum(F.when(resets, F.col("position"))).over(along.rangeBetween(Window.unboundedPreceding, 0)))
+    # two resets never share a position but in one merge, so a sum of positions tells the epochs apart
+    held = F.min("position").over(Window.partitionBy(*_KEY, "field", "epoch", "value")) < F.col("position")
+    grows = F.col("field").isin("aliases", NOTES) | (F.col("field") == "contact") & (F.col("entity_type") == CONTACT_TYPE)
+    mixed = mixed.withColumn("held", held)
+    kind = F.when(F.col("type") != "Absorbed", F.col("type")).when(F.col("taken"), "FieldSet").otherwise("SetMemberAdded")
+    stays = (F.col("type") != "Absorbed") | F.col("taken") | grows
+    pointer = F.when(F.col("type") != "Absorbed", F.col("pointer")).when(F.col("field") == NOTES, F.col("merge_id")).when(F.col("taken"), F.col("pointer"))
+    columns = [*_KEY, "field", "value", "type", "position", "event_id", "pointer", "merge_id"]
+    kept = mixed.filter(stays).withColumn("pointer", pointer).withColumn("type", kind).select(*columns)
+    notes = mixed.filter(~stays & ~F.col("held")).select(
+        *_KEY, F.lit(NOTES).alias("field"), F.concat(F.lit("s:"), F.col("field"), F.lit(": "), F.when(F.col("value").startswith("d:"), F.substring_index(F.substring("value", 3, 1 << 20), "|", 1)).otherwise(F.substring("value", 3, 1 << 20))).alias("value"),
+        F.lit("SetMemberAdded").alias("type"), "position", F.col("merge_id").alias("event_id"), F.col("merge_id").alias("pointer"), "merge_id",
     )
-    return kept.groupBy(F.col("aggregate_id").alias("entity_id"), "field", "value").agg(F.min("position").alias("position"), F.min_by("event_id", "position").alias("event_id"))
+    return plain.select(*columns).unionByName(kept).unionByName(notes)
 
 
-def field_provenance(events: DataFrame) -> DataFrame:
-    """(entity_id, field, event_id): the last event that effectively wrote a field that is held."""
-    return fold_fields(events).groupBy("entity_id", "field").agg(F.max_by("event_id", "position").alias("event_id"))
+def folded_rows(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """Effective rows of every life with what survivors absorbed: (aggregate_id, life, field, value, type, position, event_id, pointer, merge_id).
 
+    ``pointer`` is the event that explains the value, ``merge_id`` the merge a
+    row comes from. Losers are settled before their survivors, in as many
+    rounds as merges build on merges; each round folds the losers of that
+    round only. Notes that a merge adds are members of the survivor's notes.
+    """
+    merges = valid_merges(events) if merges is None else merges
+    birth_rows = births(events, merges)
+    own = effective_rows(events, merges).drop("recorded_at").withColumn("pointer", F.col("event_id")).withColumn("merge_id", F.lit(None).cast("string"))
+    pending = cut(_lives(_lives(merges.withColumnRenamed("loser", "aggregate_id"), merges).withColumnRenamed("life", "loser_life").withColumnRenamed("aggregate_id", "loser").withColumnRenamed("survivor", "aggregate_id"), merges))
+    if pending.isEmpty():
+        return own
+    ids = pending.select(F.explode(F.array(F.struct(F.col("loser").alias("id"), F.col("loser_life").alias("life")), F.struct(F.col("aggregate_id").alias("id"), "life"))).alias("k")).select(F.col("k.id").alias("aggregate_id"), F.col("k.life").alias("life")).distinct()
+    merged = cut(own.join(ids, [*_KEY], "left_semi"))
+    while not pending.isEmpty():
+        first = pending.groupBy(F.col("aggregate_id").alias("loser"), F.col("life").alias("loser_life")).agg(F.min("position").alias("p"))  # merges into a loser come before
+        ready = cut(pending.join(first, ["loser", "loser_life"], "left").filter("p IS NULL").drop("p"))
+        pending = cut(pending.join(ready.select("event_id"), "event_id", "left_anti"))
+        lost = ready.select(F.col("loser").alias("aggregate_id"), F.col("loser_life").alias("life"))
+        brought = _held(_settle(merged.join(lost, [*_KEY], "left_semi"), birth_rows))
+        moved = ready.select(F.col("event_id").alias("merge_id"), "position", "aggregate_id", "life", "loser", "loser_life").join(
+            brought.select(F.col("aggregate_id").alias("loser"), F.col("life").alias("loser_life"), "field", "value", "event_id", "pointer"), ["loser", "loser_life"]
+        )
+        merged = cut(merged.unionByName(moved.select("aggregate_id", "life", "field", "value", F.lit("Absorbed").alias("type"), "position", "event_id", "pointer", "merge_id")))
+    return own.join(ids, [*_KEY], "left_anti").unionByName(_settle(merged, birth_rows))
+
+
+def fold_fields(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """(entity_id, field, value, event_id, position): every value held at the end, in log order by position.
+
+    The last reset (creation, set or clear) of a field starts its final epoch;
+    what a set then gained counts once. Entities merged away have none; what
+    survivors took over stands at the merge. Only aggregates with map-side
+    combine, but for the fields that a merge touched.
+    """
+    merges = valid_merges(events) if merges is None else merges
+    held = survivors(_held(folded_rows(events, merges)), merges)
+    return held.select(F.col("aggregate_id").alias("entity_id"), "field", "value", "position", "event_id")
 
-def entity_versions(events: DataFrame) -> DataFrame:
-    """(entity_id, version): effective writes, and clears whether they cleared anything or not."""
-    along = Window.partitionBy("aggregate_id", "field").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = effective_rows(events).withColumn("epoch", F.sum(F.when(F.col("type") != "SetMemberAdded", 1).otherwise(0)).over(along))
-    clears = F.count_if(F.col("type") == "FieldCleared")
-    by_epoch = rows.groupBy("aggregate_id", "field", "epoch", "value").agg(F.when(clears > 0, clears).otherwise(1).alias("writes"))
-    return by_epoch.groupBy(F.col("aggregate_id").alias("entity_id")).agg(F.sum("writes").alias("version"))
 
+def field_provenance(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """(entity_id, field, event_id): the event that explains a field that is held.
 
-def fold_relations(events: DataFrame) -> DataFrame:
-    """(relation, from_id, from_type, to_id, to_type): one row per name and ends; the last writer's types."""
+    It is the last that effectively wrote it; a field taken over in a merge
+    keeps the loser's, one that grew by a merge its own, but notes that a merge
+    added to point to the merge.
+    """
+    merges = valid_merges(events) if merges is None else merges
+    held = survivors(_held(folded_rows(events, merges)), merges)
+    return held.groupBy(F.col("aggregate_id").alias("entity_id"), "field").agg(F.max_by("pointer", F.when(F.col("pointer").isNotNull(), F.col("position"))).alias("event_id"))
+
+
+def entity_versions(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """(entity_id, version): effective writes, clears whether they cleared anything or not, and one for each merge survived."""
+    merges = valid_merges(events) if merges is None else merges
+    rows = survivors(folded_rows(events, merges), merges)
+    own = rows.filter("merge_id IS NULL")
+    resets = own.filter("type <> 'SetMemberAdded'").groupBy("aggregate_id").agg(F.count(F.lit(1)).alias("n"))
+    # a member counts once an epoch: only fields that gain members need their epochs, numbered by the last reset before
+    gaining = own.filter("type = 'SetMemberAdded'").select("aggregate_id", "field").distinct()
+    along = Window.partitionBy("aggregate_id", "field").orderBy("position").rangeBetween(Window.unboundedPreceding, 0)
+    epochs = rows.join(gaining, ["aggregate_id", "field"]).withColumn("epoch", F.max(F.when(F.col("type") != "SetMemberAdded", F.col("position"))).over(along))
+    members = epochs.groupBy("aggregate_id", "field", "epoch", "value").agg(F.min_by(F.struct("type", "merge_id"), "position").alias("r")).filter("r.type = 'SetMemberAdded' AND r.merge_id IS NULL").groupBy("aggregate_id").agg(F.count(F.lit(1)).alias("n"))
+    last = survivors(_lives(merges.withColumnRenamed("survivor", "aggregate_id"), merges), merges)
+    survived = last.groupBy("aggregate_id").agg(F.count(F.lit(1)).alias("n"))
+    return resets.unionAll(members).unionAll(survived).groupBy(F.col("aggregate_id").alias("entity_id")).agg(F.sum("n").alias("version"))
+
+
+def written_relations(events: DataFrame) -> DataFrame:
+    """Relations as they were written, merges left aside: one row per name and ends; the last writer's types."""
     rows = events.filter("relation IS NOT NULL AND from_id IS NOT NULL AND to_id IS NOT NULL")
     return rows.groupBy("relation", "from_id", "to_id").agg(F.max_by("from_type", "position").alias("from_type"), F.max_by("to_type", "position").alias("to_type"))
 
 
-def valid_merges(events: DataFrame) -> DataFrame:
-    """(position, event_id, survivor, loser): merges whose two sides were live and different at the time.
+def fold_relations(events: DataFrame, merges: DataFrame | None = None, types_of: str = "last") -> DataFrame:
+    """(relation, from_id, from_type, to_id, to_type): relations with ends moved along the merges that came after they were written.
 
-    Existence depends on creations and merges alone. An entity is live from a
-    creation until a valid merge takes it; a merge is valid if both are. The
-    rounds settle all merges whose earlier ones are settled; there are as many
-    as the longest chain of merges that depend on each other.
+    Self-loops that arise are kept, and what is written after a merge isn't
+    moved. Relations that fall together are one, with the types of the last
+    writer, or of the first as relation tables have it (``types_of="first"``).
     """
-    merges = cut(events.filter("merged_id IS NOT NULL AND merged_id <> aggregate_id").select("position", "event_id", F.col("aggregate_id").alias("survivor"), F.col("merged_id").alias("loser")))
-    born = events.filter("type = 'EntityCreated' AND field IS NOT NULL").select(F.col("aggregate_id").alias("id"), "position")
-    touched = cut(merges.select(F.col("survivor").alias("id")).unionAll(merges.select("loser")).distinct())
-    births = cut(born.join(touched, "id", "left_semi"))
-
-    def last_before(side: str, what: DataFrame, name: str) -> DataFrame:
-        hits = merges.join(what.withColumnRenamed("position", "p"), F.col(side) == F.col("id")).filter("p < position")
-        return hits.groupBy("event_id").agg(F.max("p").alias(name))
-
-    base = merges
-    for side in ("survivor", "loser"):
-        base = base.join(last_before(side, births, f"{side}_born"), "event_id", "left")
-    base = cut(base.filter("survivor_born IS NOT NULL AND loser_born IS NOT NULL"))
-    valid = base
-    while True:
-        deaths = valid.select(F.col("loser").alias("id"), "position")
-        checked = base
-        for side in ("survivor", "loser"):
-            checked = checked.join(last_before(side, deaths, f"{side}_died"), "event_id", "left")
-        alive = lambda s: F.col(f"{s}_died").isNull() | (F.col(f"{s}_died") < F.col(f"{s}_born"))
-        now = cut(checked.filter(alive("survivor") & alive("loser")).select(*base.columns))
-        if now.select("event_id").exceptAll(valid.select("event_id")).isEmpty() and valid.select("event_id").exceptAll(now.select("event_id")).isEmpty():
-            return now.select("position", "event_id", "survivor", "loser")
-        valid = now
+    merges = valid_merges(events) if merges is None else merges
+    rows = events.filter("relation IS NOT NULL AND from_id IS NOT NULL AND to_id IS NOT NULL").select("relation", "from_id", "from_type", "to_id", "to_type", "position")
+    ends = fates(merges)
+    for end in ("from_id", "to_id"):
+        after = F.filter("fates", lambda f: f.position > F.col("position"))
+        rows = rows.join(ends.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce(F.get(after, F.lit(0)).final_id, F.col(end))).drop("fates")
+    pick = F.max_by if types_of == "last" else F.min_by
+    return rows.groupBy("relation", "from_id", "to_id").agg(pick("from_type", "position").alias("from_type"), pick("to_type", "position").alias("to_type"))
 
 
 def resolve_redirects(redirects: DataFrame, most: int = 64) -> DataFrame:
@@ -135,65 +271,3 @@ def resolve_redirects(redirects: DataFrame, most: int = 64) -> DataFrame:
             break
         walk = walk.drop("moved")
     return walk.select("from_id", F.col("to_id").alias("final_id"), "hops")
-
-
-def repoint_relations(events: DataFrame, merges: DataFrame) -> DataFrame:
-    """Relations with ends moved along the merges that came after they were written.
-
-    Ends move to the survivor of the earliest later merge of that id, again and
-    again. Self-loops that arise are kept, and what is written after a merge
-    isn't moved.
-    """
-    rows = cut(events.filter("relation IS NOT NULL AND from_id IS NOT NULL AND to_id IS NOT NULL").select("event_id", "relation", "from_id", "from_type", "to_id", "to_type", "position", F.col("position").alias("from_at"), F.col("position").alias("to_at")))
-    while True:
-        moved = F.lit(False)
-        for end in ("from", "to"):
-            later = merges.select(F.col("loser").alias(f"{end}_id"), F.col("position").alias("p"), F.col("survivor").alias("s"))
-            step = rows.select("event_id", f"{end}_id", f"{end}_at").join(later, f"{end}_id").filter(F.col("p") > F.col(f"{end}_at")).groupBy("event_id").agg(F.min(F.struct("p", "s")).alias(f"{end}_step"))
-            rows = rows.join(step, "event_id", "left").withColumn(f"{end}_id", F.coalesce(f"{end}_step.s", f"{end}_id")).withColumn(f"{end}_at", F.coalesce(f"{end}_step.p", f"{end}_at"))
-            moved = moved | F.col(f"{end}_step").isNotNull()
-        rows = cut(rows.withColumn("moved", moved).drop("from_step", "to_step"))
-        if rows.filter("moved").isEmpty():
-            break
-        rows = rows.drop("moved")
-    return rows.groupBy("relation", "from_id", "to_id").agg(F.max_by("from_type", "position").alias("from_type"), F.max_by("to_type", "position").alias("to_type"))
-
-
-def merge_components(events: DataFrame, merges: DataFrame) -> DataFrame:
-    """(entity_id, field, values): entities that survived a merge, folded in log order with the merge rules.
-
-    A survivor takes over fields it lacks, joins set fields in order, keeps its
-    own single values and notes the loser's. Components are the entities that
-    valid merges join; each is folded by itself. Merges are confirmed by people,
-    so components are small beside the log.
-    """
-    label = resolve_redirects(merges.select(F.col("loser").alias("from_id"), F.col("survivor").alias("to_id")))
-    roots = label.select(F.col("from_id").alias("aggregate_id"), F.col("final_id").alias("component")).unionAll(merges.select(F.col("survivor").alias("aggregate_id"), F.col("survivor").alias("component")).join(label, F.col("aggregate_id") == F.col("from_id"), "left_anti").select("aggregate_id", "component")).distinct()
-    rows = effective_rows(events).select("aggregate_id", "field", "value", "type", "position").unionByName(
-        merges.select(F.col("survivor").alias("aggregate_id"), F.lit(None).cast("string").alias("field"), F.col("loser").alias("value"), F.lit("EntitiesMerged").alias("type"), "position")
-    ).join(roots, "aggregate_id")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, dict[str, list[str]]] = {}
-        for r in pdf.sort_values("position").itertuples():
-            own = held.setdefault(r.aggregate_id, {})
-            if r.type == "EntitiesMerged":
-                for field, values in held.pop(r.value, {}).items():
-                    if field in SET_FIELDS:
-                        own[field] = list(dict.fromkeys([*own.get(field, []), *values]))
-                    elif field not in own:
-                        own[field] = values
-                    elif own[field] != values:
-                        notes = own.setdefault("notes", [])
-                        notes += [n for v in values if (n := f"s:{field}: {v.split(':', 1)[1]}") not in notes]
-            elif r.type == "SetMemberAdded":
-                if r.value not in own.setdefault(r.field, []):
-                    own[r.field].append(r.value)
-            elif r.type == "FieldCleared":
-                own.pop(r.field, None)
-            else:
-                own[r.field] = [r.value]
-        out = [(e, f, v) for e, fields in held.items() for f, v in fields.items() if v]
-        return pd.DataFrame(out, columns=["entity_id", "field", "values"])
-
-    return rows.groupBy("component").applyInPandas(fold, "entity_id string, field string, values array<string>")

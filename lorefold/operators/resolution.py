@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorefold.functions.ids import duplicate_id
 from lorefold.functions.text import name_similarity, normalise_name
-from lorefold.functions.vectors import cosine_distance, norm
 
+#: Queries that every task holds while all vectors stream by.
+QUERIES_AT_ONCE = 4096
 # Thresholds and weights of the resolution.
 FUZZY_LEAST, DUPLICATE_LEAST, NEAREST, SHORTLIST = 0.7, 0.85, 20, 4
 WEIGHTS = {"name": 0.75, "sources": 0.1, "together": 0.1, "recency": 0.05}
+RECENCY_DAYS = 90
 UNAMBIGUOUS_BELOW, MATCHED_FROM, CLEAR_MARGIN = 0.35, 0.55, 0.15
 
 
@@ -71,13 +79,56 @@ def fuzzy_candidates(mentions: DataFrame, entities: DataFrame, least: float = FU
 def nearest_candidates(queries: DataFrame, embeddings: DataFrame, k: int = NEAREST) -> DataFrame:
     """(mention_id, entity_id, distance): the k nearest entities of the type by exact cosine distance.
 
-    A stated query set against all vectors. queries: (mention_id, entity_type, vector).
+    A stated query set against all vectors. queries: (mention_id, entity_type,
+    vector); embeddings: (entity_id, entity_type, embedding). At most
+    QUERIES_AT_ONCE queries are held by every task while the vectors stream
+    by; a block of vectors is multiplied with them at once and keeps its k best
+    for each, ties included. Distances equal in nine digits rank by id. A zero
+    vector is at distance 2 from all; vectors of another length than the query,
+    and nulls, don't take part.
     """
-    q = queries.withColumn("qn", norm(F.col("vector")))
-    e = embeddings.select("entity_id", "entity_type", "embedding", norm(F.col("embedding")).alias("en"))
-    near = q.join(e, "entity_type").select("mention_id", "entity_id", cosine_distance(F.col("vector"), F.col("embedding"), F.col("qn"), F.col("en")).alias("distance"))
+    spark = queries.sparkSession
+    asked = queries.filter("mention_id IS NOT NULL AND entity_type IS NOT NULL AND vector IS NOT NULL").select("mention_id", "entity_type", F.col("vector").cast("array<double>").alias("vector"))
+    rows = embeddings.filter("entity_id IS NOT NULL AND embedding IS NOT NULL").select("entity_id", "entity_type", F.col("embedding").cast("array<double>").alias("embedding"))
+    chunks = -(-asked.count() // QUERIES_AT_ONCE)
+    found = None
+    for chunk in range(chunks):
+        part = asked if chunks == 1 else asked.filter(F.pmod(F.xxhash64("mention_id"), F.lit(chunks)) == chunk)
+        held: dict[tuple[str, int], tuple[list[str], list]] = {}
+        for row in part.toArrow().to_pylist():  # about QUERIES_AT_ONCE
+            names, vectors = held.setdefault((row["entity_type"], len(row["vector"])), ([], []))
+            names.append(row["mention_id"])
+            vectors.append(row["vector"])
+        blocks = spark.sparkContext.broadcast({key: (names, np.array(vectors, np.float64)) for key, (names, vectors) in held.items()})
+        near = rows.mapInArrow(partial(_nearest_of_block, blocks, k), "mention_id string, entity_id string, distance double")
+        found = near if found is None else found.unionAll(near)
+    if found is None:
+        return spark.createDataFrame([], "mention_id string, entity_id string, distance double")
     order = Window.partitionBy("mention_id").orderBy("distance", "entity_id")
-    return near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")
+    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")
+
+
+def _nearest_of_block(blocks, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The k nearest vectors of every batch for each query of their type and length."""
+    for batch in batches:
+        ids, types, vectors = (batch.column(n) for n in ("entity_id", "entity_type", "embedding"))
+        keys: dict[tuple[str, int], list[int]] = {}
+        for i, key in enumerate(zip(types.to_pylist(), pc.list_value_length(vectors).to_pylist(), strict=True)):
+            if key in blocks.value:
+                keys.setdefault(key, []).append(i)
+        out: list[tuple[list, list, list]] = []
+        for key, places in keys.items():
+            names, asked = blocks.value[key]
+            own = vectors.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).reshape(len(places), key[1])
+            lengths = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                far = np.round(np.where(lengths > 0, 1 - asked @ own.T / lengths, 2.0), 9)
+            bound = np.partition(far, min(k, len(places)) - 1, axis=1)[:, min(k, len(places)) - 1]
+            at, to = np.nonzero(far <= bound[:, None])
+            own_ids = ids.take(pa.array(places)).to_pylist()
+            out.append(([names[i] for i in at], [own_ids[j] for j in to], far[at, to].tolist()))
+        columns = [[x for part in out for x in part[c]] for c in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["mention_id", "entity_id", "distance"])
 
 
 def candidate_union(exact: DataFrame, fuzzy: DataFrame, nearest: DataFrame | None = None) -> DataFrame:
@@ -88,21 +139,63 @@ def candidate_union(exact: DataFrame, fuzzy: DataFrame, nearest: DataFrame | Non
     return parts.groupBy("mention_id", "entity_id").agg(F.countDistinct("s").alias("sources"), F.min("s").alias("source_rank"))
 
 
+def co_occurrence(candidates: DataFrame, occurrences: DataFrame, resolved: DataFrame, relations: DataFrame) -> DataFrame:
+    """(mention_id, entity_id, together): the part of what a note's other mentions mean that a candidate is related to.
+
+    occurrences: (mention_id, capture_id); resolved: (mention_id, entity_id),
+    one for a mention; relations: (from_id, to_id). Of several notes the best
+    counts. A candidate meets the note's entities along its relations, so
+    mentions of one note aren't paired with each other.
+    """
+    places = occurrences.filter("capture_id IS NOT NULL").select("mention_id", "capture_id").distinct()
+    meant = places.join(resolved.select("mention_id", F.col("entity_id").alias("other")), "mention_id")
+    in_note = meant.groupBy("capture_id", "other").agg(F.count(F.lit(1)).alias("times"))
+    sizes = in_note.groupBy("capture_id").agg(F.count(F.lit(1)).alias("entities"))
+    own = meant.join(in_note, ["capture_id", "other"]).filter("times = 1").select("mention_id", "capture_id", F.col("other").alias("only_own"))
+    around = places.join(sizes, "capture_id").join(own, ["mention_id", "capture_id"], "left").withColumn("n", F.col("entities") - F.col("only_own").isNotNull().cast("int"))
+    edges = relations.select(F.col("from_id").alias("entity_id"), F.col("to_id").alias("other")).unionAll(relations.select("to_id", "from_id")).distinct()
+    met = candidates.select("mention_id", "entity_id").join(edges, "entity_id").join(around, "mention_id").filter(F.col("only_own").isNull() | (F.col("other") != F.col("only_own")))
+    hits = met.join(in_note.select("capture_id", "other"), ["capture_id", "other"]).groupBy("mention_id", "entity_id", "capture_id").agg((F.count(F.lit(1)) / F.first("n")).alias("part"))
+    return hits.groupBy("mention_id", "entity_id").agg(F.max("part").alias("together"))
+
+
 def score_candidates(candidates: DataFrame, mentions: DataFrame, names: DataFrame) -> DataFrame:
     """Candidates with the best name similarity and the weighted score in [0, 1].
 
-    ``together`` (entities related to what the note also names) and
-    ``days_since_contact`` are used if the candidates have them.
+    ``together`` (see ``co_occurrence``) and ``days_since_contact`` (from the
+    last contact to the note; negative ones say nothing) are used if the
+    candidates have them.
     """
     best = (
-        candidates.join(mentions.select("mention_id", "mention_text"), "mention_id").join(names.select("entity_id", "spelling"), "entity_id")
+        candidates.select("mention_id", "entity_id").join(mentions.select("mention_id", "mention_text"), "mention_id").join(names.select("entity_id", "spelling"), "entity_id")
         .groupBy("mention_id", "entity_id").agg(F.max(name_similarity(F.col("mention_text"), F.col("spelling"))).alias("name_similarity"))
     )
     has = set(candidates.columns)
-    together = F.least(F.coalesce(F.col("together"), F.lit(0)), F.lit(1)) if "together" in has else F.lit(0.0)
-    recency = F.greatest(F.coalesce(1 - F.col("days_since_contact") / 90, F.lit(0.0)), F.lit(0.0)) if "days_since_contact" in has else F.lit(0.0)
+    unit = lambda c: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    together = unit(F.col("together")) if "together" in has else F.lit(0.0)
+    recency = unit(F.when(F.col("days_since_contact") >= 0, 1 - F.col("days_since_contact") / RECENCY_DAYS)) if "days_since_contact" in has else F.lit(0.0)
     score = WEIGHTS["name"] * F.coalesce("name_similarity", F.lit(0.0)) + WEIGHTS["sources"] * F.col("sources") / 3 + WEIGHTS["together"] * together + WEIGHTS["recency"] * recency
-    return candidates.join(best, ["mention_id", "entity_id"], "left").withColumn("score", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+    return candidates.join(best, ["mention_id", "entity_id"], "left").withColumn("score", unit(score))
+
+
+def chosen_index(choice: Column, candidates: Column) -> Column:
+    """The place, from 0, of an answer given from 1; null for none and for one that isn't among the candidates."""
+    return F.when((choice >= 1) & (choice <= candidates) & (choice == F.floor(choice)), (choice - 1).cast("int"))
+
+
+def adjudicate(resolved: DataFrame, listed: DataFrame, answers: DataFrame) -> DataFrame:
+    """Outcomes with ambiguous mentions decided by answers: the candidate chosen, or rejected_candidates.
+
+    resolved: as ``resolve`` gives it; listed: as ``shortlist`` gives it;
+    answers: (mention_id, choice), from 1, of whoever is asked. The score, as
+    the confidence of the match, stays what it was.
+    """
+    options = listed.groupBy("mention_id").agg(F.count(F.lit(1)).alias("options"))
+    given = answers.join(options, "mention_id").withColumn("at", chosen_index(F.col("choice"), F.col("options"))).select("mention_id", "at")
+    picked = given.join(listed.select("mention_id", (F.col("choice") - 1).cast("int").alias("at"), F.col("entity_id").alias("picked")), ["mention_id", "at"], "left").select("mention_id", "picked", F.lit(True).alias("answered"))
+    decides = F.col("is_ambiguous") & F.coalesce("answered", F.lit(False))
+    outcome = F.when(decides & F.col("picked").isNull(), "rejected_candidates").otherwise(F.col("outcome"))
+    return resolved.join(picked, "mention_id", "left").select("mention_id", outcome.alias("outcome"), F.when(decides, F.col("picked")).otherwise(F.col("entity_id")).alias("entity_id"), "score", "margin", F.coalesce(F.col("is_ambiguous"), F.lit(False)).alias("was_adjudicated"))
 
 
 def resolve(scored: DataFrame, mentions: DataFrame) -> DataFrame:

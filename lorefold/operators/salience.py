@@ -63,6 +63,12 @@ def person_association(scored: DataFrame, relations: DataFrame) -> DataFrame:
     return people.withColumn("salience", F.least(F.col("recency") + F.col("association"), F.lit(100.0)))
 
 
+def with_association(scored: DataFrame, relations: DataFrame) -> DataFrame:
+    """All entities with their final salience: people by recency and association, others by their own terms."""
+    people = person_association(scored, relations).select(*scored.columns)
+    return scored.filter("entity_type IS NULL OR entity_type <> 'Person'").unionByName(people)
+
+
 def rank(scored: DataFrame, k: int) -> DataFrame:
     """The k most salient entities; equal scores by id."""
     return scored.orderBy(F.desc("salience"), "entity_id").limit(k)
@@ -91,7 +97,7 @@ def daily_sections(scored: DataFrame, now: Column) -> DataFrame:
 
 
 def weekly_sections(scored: DataFrame, activity: DataFrame) -> DataFrame:
-    """What moved, What didn't, Open loops, New this week and People, each ranked and capped."""
+    """What moved, What didn't, Open loops, New this week and People, each ranked and capped; ``scored`` has association in it."""
     columns = scored.columns
     known = scored.join(activity.select("entity_id", "this_week", "last_week", "status_changed", "is_new"), "entity_id", "left")
     week = F.coalesce("this_week", F.lit(0))

@@ -7,25 +7,85 @@ from pyspark.sql import functions as F
 
 from lorefold.functions import confidence as C
 
-# Fields by type as name:type:cardinality, derived ones, floors, and enum members.
-FIELD_SCHEMA: dict[str, str] = {
-    "Person": "name:text:single aliases:text:set summary:text:single notes:text:set salience:number:single employer:text:single role:text:single location:text:single relationship:enum:single contact:text:set last_contact_at:date:single",
-    "Project": "name:text:single aliases:text:set summary:text:single notes:text:set salience:number:single status:enum:single blocker:text:single next_action:text:single outcome:text:single due:date:single started_at:date:single",
-    "Idea": "name:text:single aliases:text:set summary:text:single notes:text:set salience:number:single body:text:single status:enum:single",
-    "Event": "name:text:single aliases:text:set summary:text:single notes:text:set salience:number:single occurred_at:date:single ends_at:date:single location:text:single kind:enum:single outcome:text:single",
-    "Task": "name:text:single aliases:text:set summary:text:single notes:text:set salience:number:single status:enum:single due:date:single done_at:date:single",
+# Fixed values: (field, type, cardinality) that every entity has, and those of each type.
+SHARED_FIELDS = (
+    ("name", "text", "single"),
+    ("aliases", "text", "set"),
+    ("summary", "text", "single"),
+    ("notes", "text", "set"),
+    ("salience", "number", "single"),
+)
+OWN_FIELDS: dict[str, tuple[tuple[str, str, str], ...]] = {
+    "Person": (
+        ("employer", "text", "single"),
+        ("role", "text", "single"),
+        ("location", "text", "single"),
+        ("relationship", "enum", "single"),
+        ("contact", "text", "set"),
+        ("last_contact_at", "date", "single"),
+    ),
+    "Project": (
+        ("status", "enum", "single"),
+        ("blocker", "text", "single"),
+        ("next_action", "text", "single"),
+        ("outcome", "text", "single"),
+        ("due", "date", "single"),
+        ("started_at", "date", "single"),
+    ),
+    "Idea": (
+        ("body", "text", "single"),
+        ("status", "enum", "single"),
+    ),
+    "Event": (
+        ("occurred_at", "date", "single"),
+        ("ends_at", "date", "single"),
+        ("location", "text", "single"),
+        ("kind", "enum", "single"),
+        ("outcome", "text", "single"),
+    ),
+    "Task": (
+        ("status", "enum", "single"),
+        ("due", "date", "single"),
+        ("done_at", "date", "single"),
+    ),
 }
 DERIVED = ("salience", "last_contact_at")
 REVIEW_FLOOR = ("name",)
+# The members of each enum field by type.
+ENUM_MEMBERS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("Person", "relationship", ("colleague", "friend", "family", "client", "acquaintance", "other")),
+    ("Project", "status", ("active", "blocked", "paused", "done", "abandoned")),
+    ("Idea", "status", ("open", "promoted", "dropped")),
+    ("Event", "kind", ("meeting", "call", "deadline", "milestone", "social", "other")),
+    ("Task", "status", ("open", "done", "dropped")),
+)
+# Declared pairs of each relation, the one of which an entity has one only, and the one that is always reviewed.
 RELATION_PAIRS = (
-    ("involves", "Project", "Person"), ("involves", "Event", "Person"), ("concerns", "Task", "Project"), ("attended", "Person", "Event"),
-    ("relates_to", "Idea", "Project"), ("became", "Idea", "Project"), ("blocks", "Task", "Task"), ("knows", "Person", "Person"),
+    ("involves", "Project", "Person"),
+    ("concerns", "Task", "Person"),
+    ("concerns", "Task", "Project"),
+    ("concerns", "Task", "Idea"),
+    ("concerns", "Task", "Event"),
+    ("attended", "Event", "Person"),
+    ("relates_to", "Project", "Project"),
+    ("relates_to", "Idea", "Idea"),
+    ("relates_to", "Idea", "Project"),
+    ("became", "Idea", "Project"),
+    ("became", "Idea", "Task"),
+    ("blocks", "Task", "Task"),
+    ("blocks", "Project", "Project"),
+    ("blocks", "Task", "Project"),
+    ("knows", "Person", "Person"),
 )
+SINGLE_RELATIONS = ("became",)
+REVIEWED_RELATIONS = ("became",)
+# Fixed values: (type, field, field it depends on, values of that one under which it keeps its meaning).
+DEPENDENCIES = (("Project", "blocker", "status", ("blocked",)),)
 
 
 def field_schema(spark) -> DataFrame:
     """(entity_type, field, field_type, cardinality, is_derived, floor)."""
-    rows = [(t, *spec.split(":")) for t, specs in FIELD_SCHEMA.items() for spec in specs.split()]
+    rows = [(t, *field) for t, own in OWN_FIELDS.items() for field in (*SHARED_FIELDS, *own)]
     base = spark.createDataFrame(rows, "entity_type string, field string, field_type string, cardinality string")
     return base.withColumn("is_derived", F.col("field").isin(*DERIVED)).withColumn("floor", F.when(F.col("field").isin(*REVIEW_FLOOR), "review").otherwise("auto"))
 
@@ -47,9 +107,17 @@ def diff_entities(claims: DataFrame, held: DataFrame, schema: DataFrame) -> Data
 
 
 def diff_dependents(changes: DataFrame, held: DataFrame) -> DataFrame:
-    """(entity_id, field, change): a project's blocker is cleared if its status is set to anything but blocked."""
-    leaves = changes.filter("entity_type = 'Project' AND field = 'status' AND change = 'set_field' AND value <> 'blocked'").select("entity_id").distinct()
-    return held.filter("field = 'blocker'").select("entity_id").distinct().join(leaves, "entity_id").select("entity_id", F.lit("blocker").alias("field"), F.lit("clear_field").alias("change"))
+    """(entity_id, field, change): held fields to be cleared, as what they depend on is set to a value under which they mean nothing.
+
+    A project's blocker depends on its status being blocked. Values are texts
+    that carry their kind, such as ``s:blocked``; dates never keep a field.
+    """
+    out = None
+    for kind, field, on, values in DEPENDENCIES:
+        leaves = changes.filter((F.col("entity_type") == kind) & (F.col("field") == on) & (F.col("change") == "set_field") & ~F.coalesce(F.col("value").isin(*(f"s:{v}" for v in values)), F.lit(False)))
+        part = held.filter(F.col("field") == field).select("entity_id").distinct().join(leaves.select("entity_id").distinct(), "entity_id").select("entity_id", F.lit(field).alias("field"), F.lit("clear_field").alias("change"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def relation_violations(relations: DataFrame) -> DataFrame:
@@ -64,20 +132,31 @@ def relation_violations(relations: DataFrame) -> DataFrame:
 
 
 def diff_relations(claims: DataFrame, held: DataFrame) -> DataFrame:
-    """Claimed relations with ``change``: refused, already_held or relate."""
+    """Claimed relations with ``change`` (refused, already_held, replace or relate) and ``floor``.
+
+    A relation of which an entity has one only replaces another that it holds.
+    """
     checked = relation_violations(claims.distinct())
     same = held.select("relation", "from_id", "to_id", F.lit(True).alias("is_held")).distinct()
-    change = F.when(F.col("violation").isNotNull(), "refused").when(F.col("is_held"), "already_held").otherwise("relate")
-    return checked.join(same, ["relation", "from_id", "to_id"], "left").withColumn("change", change).drop("is_held")
+    other = held.filter(F.col("relation").isin(*SINGLE_RELATIONS)).select("relation", "from_id", F.lit(True).alias("has_other")).distinct()
+    change = F.when(F.col("violation").isNotNull(), "refused").when(F.col("is_held"), "already_held").when(F.col("has_other"), "replace").otherwise("relate")
+    floor = F.when(F.col("relation").isin(*REVIEWED_RELATIONS), "review").otherwise("auto")
+    return checked.join(same, ["relation", "from_id", "to_id"], "left").join(other, ["relation", "from_id"], "left").withColumn("change", change).withColumn("floor", floor).drop("is_held", "has_other")
 
 
-def enum_fallback(values: DataFrame, members: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(.., parsed, note): an enum value in lower case, or ``other`` and a note of what was said."""
+def enum_fallback(values: DataFrame) -> DataFrame:
+    """Values of enum fields with ``parsed`` and ``note``: the member in lower case, or ``other`` and a note of what was said.
+
+    values: (entity_type, field, value, ..). A field that is no enum of its
+    type gives null for both.
+    """
+    spark = values.sparkSession
+    members = spark.createDataFrame([(t, f, list(m)) for t, f, m in ENUM_MEMBERS], "entity_type string, field string, members array<string>")
     cleaned = F.lower(F.trim("value"))
-    known = F.lit(False)
-    for field, own in members.items():
-        known = known | ((F.col("field") == field) & cleaned.isin(*own))
-    return values.withColumn("parsed", F.when(known, cleaned).otherwise("other")).withColumn("note", F.when(~known, F.concat("field", F.lit(": "), "value")))
+    known = F.coalesce(F.array_contains("members", cleaned), F.lit(False))
+    is_enum = F.col("members").isNotNull()
+    joined = values.join(F.broadcast(members), ["entity_type", "field"], "left")  # a fixed list
+    return joined.withColumn("parsed", F.when(is_enum, F.when(known, cleaned).otherwise("other"))).withColumn("note", F.when(is_enum & ~known, F.concat("field", F.lit(": "), "value"))).drop("members")
 
 
 def triage(proposals: DataFrame, corrections: DataFrame, draw: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from lorefold.functions.dates import resolve_date
 from lorefold.functions.text import name_similarity, normalise, note_of
 from lorefold.functions.vectors import hash_vector
 from lorefold.operators import captures, evaluation, event_store, fold, reads, resolution, salience, search, stores, triage
+from lorefold.session import cut
 from lorefold.sources.tables import table
 
 #: The instant that time-dependent queries look from.
@@ -124,12 +125,50 @@ def correction_counts(spark, sf_dir):
 
 # ---- the fold ---------------------------------------------------------------------------------------------------
 
-_FOLD = """
-WITH first AS (
+_LEVELS = 4  # merges that build on merges in the oracle; no data of the tests has more
+
+
+def _settled(n: int, source: str) -> str:
+    """CTEs st{n} (rows with absorbed values turned into writes, members and notes) and hd{n} (what is held at the end of each life)."""
+    return f"""
+sa{n} AS (
+  SELECT r.*, b.entity_type, r.type = 'Absorbed' AND coalesce((SELECT arg_max(q.type, q.position) FROM {source} q WHERE q.aid = r.aid AND q.life = r.life AND q.field = r.field AND q.position < r.position), 'FieldCleared') = 'FieldCleared' AS taken
+  FROM {source} r LEFT JOIN births b ON b.aid = r.aid AND b.life = r.life
+), sb{n} AS (
+  SELECT *, (SELECT max(q.position) FROM sa{n} q WHERE q.aid = r.aid AND q.life = r.life AND q.field = r.field AND q.position <= r.position AND (q.taken OR q.type NOT IN ('SetMemberAdded', 'Absorbed'))) AS reset,
+    field IN ('aliases', 'notes') OR (field = 'contact' AND entity_type = 'Person') AS grows FROM sa{n} r
+), st{n} AS (
+  SELECT aid, life, field, value, CASE WHEN type <> 'Absorbed' THEN type WHEN taken THEN 'FieldSet' ELSE 'SetMemberAdded' END AS type, position, event_id,
+    CASE WHEN type <> 'Absorbed' THEN ptr WHEN field = 'notes' THEN mid WHEN taken THEN ptr END AS ptr, mid
+  FROM sb{n} WHERE type <> 'Absorbed' OR taken OR grows
+  UNION ALL
+  SELECT aid, life, 'notes', 's:' || field || ': ' || CASE WHEN value LIKE 'd:%' THEN split_part(substr(value, 3), '|', 1) ELSE substr(value, 3) END, 'SetMemberAdded', position, mid, mid, mid
+  FROM sb{n} r WHERE type = 'Absorbed' AND NOT taken AND NOT grows
+    AND NOT EXISTS (SELECT 1 FROM sb{n} q WHERE q.aid = r.aid AND q.life = r.life AND q.field = r.field AND q.value = r.value AND q.position < r.position AND q.reset IS NOT DISTINCT FROM r.reset)
+), hd{n} AS (
+  SELECT aid, life, field, value, min(position) AS position, arg_min(event_id, position) AS event_id, arg_min(ptr, position) AS ptr
+  FROM (SELECT t.*, (SELECT max(q.position) FROM st{n} q WHERE q.aid = t.aid AND q.life = t.life AND q.field = t.field AND q.type <> 'SetMemberAdded') AS top FROM st{n} t)
+  WHERE type <> 'FieldCleared' AND (top IS NULL OR position >= top) GROUP BY 1, 2, 3, 4
+)"""
+
+
+def _merged_levels() -> str:
+    out, source = "", "mine"
+    for n in range(1, _LEVELS + 1):
+        out += f"""{_settled(n, source)}, up{n} AS (
+  SELECT * FROM {source}
+  UNION ALL SELECT m.survivor, m.survivor_life, h.field, h.value, 'Absorbed', m.position, h.event_id, h.ptr, m.event_id FROM levels m JOIN hd{n} h ON h.aid = m.loser AND h.life = m.loser_life WHERE m.level = {n}
+),"""
+        source = f"up{n}"
+    return out + _settled(_LEVELS + 1, source)
+
+
+_EVENTS = """
+WITH RECURSIVE first AS (
   SELECT *, CASE WHEN json_valid(payload) THEN payload::JSON END AS doc FROM event_log
   WHERE type IN ('EntityCreated', 'FieldSet', 'SetMemberAdded', 'FieldCleared', 'EntitiesRelated', 'EntitiesMerged') AND position IS NOT NULL AND aggregate_id IS NOT NULL AND event_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY position) = 1
-), ev AS (
+), ev AS MATERIALIZED (
   SELECT position, event_id, type, aggregate_id, recorded_at,
     CASE WHEN type = 'EntityCreated' AND json_extract_string(doc, '$.name') IS NOT NULL THEN 'name'
          WHEN type IN ('FieldSet', 'SetMemberAdded', 'FieldCleared') THEN json_extract_string(doc, '$.field') END AS field,
@@ -141,20 +180,62 @@ WITH first AS (
     json_extract_string(doc, '$.relation') AS relation, json_extract_string(doc, '$.fromId') AS from_id, json_extract_string(doc, '$.fromType') AS from_type,
     json_extract_string(doc, '$.toId') AS to_id, json_extract_string(doc, '$.toType') AS to_type
   FROM first WHERE doc IS NOT NULL
+), mg AS (
+  SELECT row_number() OVER (ORDER BY m.position) AS i, m.position, m.event_id, m.aggregate_id AS survivor, m.merged_id AS loser,
+    (SELECT max(b.position) FROM ev b WHERE b.type = 'EntityCreated' AND b.field IS NOT NULL AND b.aggregate_id = m.aggregate_id AND b.position < m.position) AS sb,
+    (SELECT max(b.position) FROM ev b WHERE b.type = 'EntityCreated' AND b.field IS NOT NULL AND b.aggregate_id = m.merged_id AND b.position < m.position) AS lb
+  FROM ev m WHERE m.type = 'EntitiesMerged' AND m.merged_id IS NOT NULL AND m.merged_id <> m.aggregate_id
+), walk AS (
+  SELECT 0::BIGINT AS i, []::STRUCT(id VARCHAR, p BIGINT)[] AS dead
+  UNION ALL
+  SELECT g.i, CASE WHEN sb IS NOT NULL AND lb IS NOT NULL AND len(list_filter(dead, lambda d: (d.id = survivor AND d.p > sb) OR (d.id = loser AND d.p > lb))) = 0
+    THEN list_append(dead, {'id': loser, 'p': position}) ELSE dead END FROM walk w JOIN mg g ON g.i = w.i + 1
+), vm AS MATERIALIZED (
+  SELECT g.position, g.event_id, g.survivor, g.loser FROM mg g JOIN (SELECT unnest(dead) AS d FROM walk WHERE i = (SELECT max(i) FROM walk)) t ON g.loser = t.d.id AND g.position = t.d.p
+)"""
+
+_FOLD = _EVENTS + """, lived AS (
+  SELECT e.*, (SELECT count(*) FROM vm WHERE vm.loser = e.aggregate_id AND vm.position < e.position) AS life FROM ev e
+), births AS (
+  SELECT aggregate_id AS aid, life, min(position) AS p0, arg_min(entity_type, position) AS entity_type FROM lived WHERE type = 'EntityCreated' AND field IS NOT NULL GROUP BY 1, 2
 ), born AS (
-  SELECT aggregate_id, min(position) AS p0, arg_min(entity_type, position) AS entity_type FROM ev WHERE type = 'EntityCreated' AND field IS NOT NULL GROUP BY 1
-), live AS (
-  SELECT e.aggregate_id, field, value, type, position, event_id, recorded_at FROM ev e JOIN born b ON e.aggregate_id = b.aggregate_id
+  SELECT aid AS aggregate_id, life, p0, entity_type FROM births b WHERE life = (SELECT count(*) FROM vm WHERE vm.loser = b.aid)
+), live AS MATERIALIZED (
+  SELECT e.aggregate_id, e.life, field, value, type, position, event_id, recorded_at FROM lived e JOIN births b ON e.aggregate_id = b.aid AND e.life = b.life
   WHERE field IS NOT NULL AND type IN ('EntityCreated', 'FieldSet', 'SetMemberAdded', 'FieldCleared') AND ((position > p0 AND type <> 'EntityCreated') OR position = p0)
+), life_of AS (
+  SELECT m.*, (SELECT count(*) FROM vm q WHERE q.loser = m.survivor AND q.position < m.position) AS survivor_life, (SELECT count(*) FROM vm q WHERE q.loser = m.loser AND q.position < m.position) AS loser_life FROM vm m
+), depth AS (
+  SELECT event_id, survivor, survivor_life, 1 AS d FROM life_of
+  UNION ALL SELECT m.event_id, m.survivor, m.survivor_life, d + 1 FROM depth x JOIN life_of m ON m.loser = x.survivor AND m.loser_life = x.survivor_life
+), levels AS (
+  SELECT m.*, (SELECT max(d) FROM depth WHERE depth.event_id = m.event_id) AS level FROM life_of m
+), meets AS (
+  SELECT survivor AS aid, survivor_life AS life FROM life_of UNION SELECT loser, loser_life FROM life_of
+), mine AS MATERIALIZED (
+  SELECT aggregate_id AS aid, l.life, field, value, type, position, event_id, event_id AS ptr, NULL::VARCHAR AS mid FROM live l JOIN meets m ON l.aggregate_id = m.aid AND l.life = m.life
+),""" + _merged_levels() + f""", folded AS (
+  SELECT aggregate_id AS aid, l.life, field, value, type, position, event_id, event_id AS ptr, NULL::VARCHAR AS mid FROM live l WHERE (aggregate_id, life) NOT IN (SELECT (aid, life) FROM meets)
+  UNION ALL SELECT * FROM st{_LEVELS + 1}
 ), epochs AS (
-  SELECT *, sum(CASE WHEN type <> 'SetMemberAdded' THEN 1 ELSE 0 END) OVER (PARTITION BY aggregate_id, field ORDER BY position) AS epoch FROM live
-), ends AS (
-  SELECT * FROM (SELECT *, max(epoch) OVER (PARTITION BY aggregate_id, field) AS top FROM epochs) WHERE epoch = top AND type <> 'FieldCleared'
+  SELECT f.aid AS aggregate_id, field, value, type, position, event_id, ptr, mid, max(CASE WHEN type <> 'SetMemberAdded' THEN position END) OVER (PARTITION BY aid, f.life, field ORDER BY position) AS epoch,
+    max(CASE WHEN type <> 'SetMemberAdded' THEN position END) OVER (PARTITION BY aid, f.life, field) AS top
+  FROM folded f JOIN born b ON f.aid = b.aggregate_id AND f.life = b.life
 ), held AS (
-  SELECT aggregate_id AS entity_id, field, value, min(position) AS position, arg_min(event_id, position) AS event_id FROM ends GROUP BY ALL
-), rel AS (
-  SELECT relation, from_id, to_id, arg_max(from_type, position) AS from_type, arg_max(to_type, position) AS to_type FROM ev
-  WHERE type = 'EntitiesRelated' AND relation IS NOT NULL AND from_id IS NOT NULL AND to_id IS NOT NULL GROUP BY 1, 2, 3
+  SELECT aggregate_id AS entity_id, field, value, min(position) AS position, arg_min(event_id, position) AS event_id, arg_min(struct_pack(p := ptr), position).p AS ptr
+  FROM epochs WHERE epoch IS NOT DISTINCT FROM top AND type <> 'FieldCleared' GROUP BY ALL
+), hops AS (
+  SELECT event_id AS start, position, survivor AS place FROM vm
+  UNION ALL SELECT h.start, m.position, m.survivor FROM hops h JOIN LATERAL (SELECT position, survivor FROM vm WHERE vm.loser = h.place AND vm.position > h.position ORDER BY position LIMIT 1) m ON true
+), fate AS (
+  SELECT m.loser, m.position, (SELECT arg_max(place, h.position) FROM hops h WHERE h.start = m.event_id) AS final_id FROM vm m
+), written AS (
+  SELECT * FROM ev WHERE type = 'EntitiesRelated' AND relation IS NOT NULL AND from_id IS NOT NULL AND to_id IS NOT NULL
+), pointed AS (
+  SELECT relation, position, from_type, to_type, coalesce((SELECT arg_min(final_id, f.position) FROM fate f WHERE f.loser = w.from_id AND f.position > w.position), from_id) AS from_id,
+    coalesce((SELECT arg_min(final_id, f.position) FROM fate f WHERE f.loser = w.to_id AND f.position > w.position), to_id) AS to_id FROM written w
+), rel AS MATERIALIZED (
+  SELECT relation, from_id, to_id, arg_max(from_type, position) AS from_type, arg_max(to_type, position) AS to_type FROM pointed GROUP BY 1, 2, 3
 )
 """
 
@@ -163,7 +244,7 @@ def _events(spark, sf_dir):
     return fold.read_log(table(spark, sf_dir, "event_log"))
 
 
-@query(_FOLD + "SELECT * FROM held")
+@query(_FOLD + "SELECT entity_id, field, value, position, event_id FROM held")
 def fold_fields(spark, sf_dir):
     return fold.fold_fields(_events(spark, sf_dir))
 
@@ -173,18 +254,24 @@ def fold_set_members(spark, sf_dir):
     return fold.fold_fields(_events(spark, sf_dir)).filter(F.col("field").isin(*fold.SET_FIELDS)).select("entity_id", "field", "value")
 
 
-@query(_FOLD + "SELECT DISTINCT aggregate_id AS entity_id, field FROM live EXCEPT SELECT entity_id, field FROM held")
+@query(_FOLD + "SELECT DISTINCT l.aggregate_id AS entity_id, field FROM live l JOIN born b ON l.aggregate_id = b.aggregate_id AND l.life = b.life EXCEPT SELECT entity_id, field FROM held")
 def fold_field_clear(spark, sf_dir):
-    rows = fold.effective_rows(_events(spark, sf_dir)).select(F.col("aggregate_id").alias("entity_id"), "field").distinct()
-    return rows.join(fold.fold_fields(_events(spark, sf_dir)).select("entity_id", "field").distinct(), ["entity_id", "field"], "left_anti")
+    events = _events(spark, sf_dir)
+    merges = fold.valid_merges(events)
+    rows = fold.survivors(fold.effective_rows(events, merges), merges).select(F.col("aggregate_id").alias("entity_id"), "field").distinct()
+    return rows.join(fold.fold_fields(events, merges).select("entity_id", "field").distinct(), ["entity_id", "field"], "left_anti")
 
 
-@query(_FOLD + "SELECT entity_id, field, arg_max(event_id, position) AS event_id FROM held GROUP BY 1, 2")
+@query(_FOLD + "SELECT entity_id, field, arg_max(ptr, position) FILTER (ptr IS NOT NULL) AS event_id FROM held GROUP BY 1, 2")
 def field_provenance(spark, sf_dir):
     return fold.field_provenance(_events(spark, sf_dir))
 
 
-@query(_FOLD + "SELECT aggregate_id AS entity_id, sum(w)::BIGINT AS version FROM (SELECT aggregate_id, field, epoch, value, CASE WHEN count(*) FILTER (type = 'FieldCleared') > 0 THEN count(*) FILTER (type = 'FieldCleared') ELSE 1 END AS w FROM epochs GROUP BY 1, 2, 3, 4) GROUP BY 1")
+@query(_FOLD + """, w AS (
+  SELECT aggregate_id, count(*) AS n FROM epochs WHERE mid IS NULL AND type <> 'SetMemberAdded' GROUP BY 1
+  UNION ALL SELECT aggregate_id, count(*) FROM (SELECT aggregate_id FROM epochs GROUP BY aggregate_id, field, epoch, value HAVING arg_min(type, position) = 'SetMemberAdded' AND arg_min(mid IS NULL, position)) GROUP BY 1
+  UNION ALL SELECT survivor, count(*) FROM life_of JOIN born ON survivor = aggregate_id AND survivor_life = life GROUP BY 1)
+SELECT aggregate_id AS entity_id, sum(n)::BIGINT AS version FROM w GROUP BY 1""")
 def fold_entity_versions(spark, sf_dir):
     return fold.entity_versions(_events(spark, sf_dir))
 
@@ -194,32 +281,68 @@ def fold_relations(spark, sf_dir):
     return fold.fold_relations(_events(spark, sf_dir))
 
 
-@query(_FOLD + """, e AS (SELECT DISTINCT id, relation, from_id, to_id FROM (SELECT from_id AS id, * FROM rel UNION ALL SELECT to_id, * FROM rel))
-SELECT b.aggregate_id AS entity_id, b.entity_type, (SELECT count(DISTINCT field) FROM held h WHERE h.entity_id = b.aggregate_id) AS fields, (SELECT count(*) FROM e WHERE e.id = b.aggregate_id) AS relations FROM born b""")
+_VIEW = _FOLD + """, e AS (SELECT DISTINCT id, relation || ':' || from_id || '>' || to_id AS x FROM (SELECT from_id AS id, * FROM rel UNION ALL SELECT to_id, * FROM rel)),
+pv AS (SELECT entity_id, field || coalesce('=' || arg_max(ptr, position) FILTER (ptr IS NOT NULL), '') AS x FROM held GROUP BY entity_id, field),
+vw AS (SELECT b.aggregate_id AS entity_id, b.entity_type, coalesce((SELECT string_agg(DISTINCT h.field || '=' || h.value, '; ' ORDER BY h.field || '=' || h.value) FROM held h WHERE h.entity_id = b.aggregate_id), '') AS fields,
+  coalesce((SELECT string_agg(x, '; ' ORDER BY x) FROM e WHERE e.id = b.aggregate_id), '') AS relations, coalesce((SELECT string_agg(x, '; ' ORDER BY x) FROM pv WHERE pv.entity_id = b.aggregate_id), '') AS provenance FROM born b)
+"""
+
+
+@query(_VIEW + "SELECT * FROM vw")
 def entity_view(spark, sf_dir):
     return reads.entity_views(_events(spark, sf_dir))
 
 
+@query(_VIEW + "SELECT entity_id, sha256(entity_id || '|' || entity_type || '|' || fields || '|' || relations || '|' || provenance) AS digest FROM vw")
+def knowledge_digest(spark, sf_dir):
+    return reads.serialised(_events(spark, sf_dir))
+
+
+@query(_FOLD + "SELECT (SELECT count(*) FROM born) AS entities, (SELECT count(*) FROM held) AS fields, (SELECT sum(length(value))::BIGINT FROM held) AS field_letters, (SELECT count(*) FROM rel) AS relations")
+def knowledge_fingerprint(spark, sf_dir):
+    return reads.fingerprint(_events(spark, sf_dir))
+
+
+@query(_FOLD + "SELECT entity_id, field FROM held GROUP BY 1, 2 HAVING count(ptr) = 0")
+def fields_without_provenance(spark, sf_dir):
+    return reads.without_provenance(_events(spark, sf_dir))
+
+
 @query("SELECT DISTINCT entity_id, name, version FROM projection_entities WHERE entity_type = 'Person'")
 def entities_of_type(spark, sf_dir):
     return table(spark, sf_dir, "projection_entities").filter("entity_type = 'Person'").select("entity_id", "name", "version").distinct()
 
 
-@query()
+@query(_EVENTS + "SELECT position, event_id, survivor, loser FROM vm")
 def merges_valid(spark, sf_dir):
     return fold.valid_merges(_events(spark, sf_dir))
 
 
-@query()
+@query(_FOLD + "SELECT loser, position, final_id FROM fate")
+def merge_redirects(spark, sf_dir):
+    return fold.fates(fold.valid_merges(_events(spark, sf_dir))).select(F.col("id").alias("loser"), F.inline("fates")).select("loser", "position", "final_id")
+
+
+@query(_FOLD + "SELECT relation, from_id, to_id, arg_min(from_type, position) AS from_type, arg_min(to_type, position) AS to_type FROM pointed GROUP BY 1, 2, 3")
+def relation_table(spark, sf_dir):
+    return fold.fold_relations(_events(spark, sf_dir), types_of="first")
+
+
+@query(_FOLD + "SELECT r.* FROM rel r WHERE from_id IN (SELECT final_id FROM fate) OR to_id IN (SELECT final_id FROM fate)")
 def merge_repoint_relations(spark, sf_dir):
     events = _events(spark, sf_dir)
-    return fold.repoint_relations(events, fold.valid_merges(events))
+    merges = fold.valid_merges(events)
+    ends = fold.fates(merges).select(F.explode("fates.final_id").alias("id")).distinct()
+    relations = fold.fold_relations(events, merges)
+    return relations.join(ends, (F.col("from_id") == F.col("id")) | (F.col("to_id") == F.col("id")), "left_semi")
 
 
-@query()
+@query(_FOLD + "SELECT h.entity_id, h.field, h.value, h.event_id FROM held h WHERE h.entity_id IN (SELECT survivor FROM vm)")
 def merge_component_fold(spark, sf_dir):
     events = _events(spark, sf_dir)
-    return fold.merge_components(events, fold.valid_merges(events))
+    merges = fold.valid_merges(events)
+    survivors = merges.select(F.col("survivor").alias("entity_id")).distinct()
+    return fold.fold_fields(events, merges).join(survivors, "entity_id", "left_semi").select("entity_id", "field", "value", "event_id")
 
 
 @query("""
@@ -236,8 +359,11 @@ def merge_redirects_transitive(spark, sf_dir):
 
 # ---- relations and diffs ----------------------------------------------------------------------------------------
 
-_PAIRS = ", ".join(f"('{r}', '{a}', '{b}')" for r, a, b in triage.RELATION_PAIRS)
-_NAMES = ", ".join(f"'{n}'" for n in sorted({p[0] for p in triage.RELATION_PAIRS}))
+# typed by hand, so that the SQL doesn't share the lists of the code it checks
+_PAIRS = """('involves', 'Project', 'Person'), ('concerns', 'Task', 'Person'), ('concerns', 'Task', 'Project'), ('concerns', 'Task', 'Idea'), ('concerns', 'Task', 'Event'),
+('attended', 'Event', 'Person'), ('relates_to', 'Project', 'Project'), ('relates_to', 'Idea', 'Idea'), ('relates_to', 'Idea', 'Project'), ('became', 'Idea', 'Project'), ('became', 'Idea', 'Task'),
+('blocks', 'Task', 'Task'), ('blocks', 'Project', 'Project'), ('blocks', 'Task', 'Project'), ('knows', 'Person', 'Person')"""
+_NAMES = "'attended', 'became', 'blocks', 'concerns', 'involves', 'knows', 'relates_to'"
 _VIOLATION = f"CASE WHEN relation NOT IN ({_NAMES}) THEN 'unknown_relation' WHEN from_id = to_id THEN 'self_relation' WHEN (relation, from_type, to_type) NOT IN ({_PAIRS}) THEN 'undeclared_pair' END"
 
 
@@ -251,21 +377,29 @@ def relation_mix(spark, sf_dir):
     return evaluation.relation_mix(fold.fold_relations(_events(spark, sf_dir)), sorted({p[0] for p in triage.RELATION_PAIRS}), "relates_to")
 
 
-_SCHEMA_ROWS = ", ".join(f"('{t}', '{s.split(':')[0]}', '{s.split(':')[2]}')" for t, specs in triage.FIELD_SCHEMA.items() for s in specs.split())
+_SCHEMA_ROWS = """('Person', 'name', 'single'), ('Person', 'aliases', 'set'), ('Person', 'summary', 'single'), ('Person', 'notes', 'set'), ('Person', 'salience', 'single'),
+('Person', 'employer', 'single'), ('Person', 'role', 'single'), ('Person', 'location', 'single'), ('Person', 'relationship', 'single'), ('Person', 'contact', 'set'), ('Person', 'last_contact_at', 'single'),
+('Project', 'name', 'single'), ('Project', 'aliases', 'set'), ('Project', 'summary', 'single'), ('Project', 'notes', 'set'), ('Project', 'salience', 'single'), ('Project', 'status', 'single'),
+('Project', 'blocker', 'single'), ('Project', 'next_action', 'single'), ('Project', 'outcome', 'single'), ('Project', 'due', 'single'), ('Project', 'started_at', 'single'),
+('Idea', 'name', 'single'), ('Idea', 'aliases', 'set'), ('Idea', 'summary', 'single'), ('Idea', 'notes', 'set'), ('Idea', 'salience', 'single'), ('Idea', 'body', 'single'), ('Idea', 'status', 'single'),
+('Event', 'name', 'single'), ('Event', 'aliases', 'set'), ('Event', 'summary', 'single'), ('Event', 'notes', 'set'), ('Event', 'salience', 'single'), ('Event', 'occurred_at', 'single'),
+('Event', 'ends_at', 'single'), ('Event', 'location', 'single'), ('Event', 'kind', 'single'), ('Event', 'outcome', 'single'),
+('Task', 'name', 'single'), ('Task', 'aliases', 'set'), ('Task', 'summary', 'single'), ('Task', 'notes', 'set'), ('Task', 'salience', 'single'), ('Task', 'status', 'single'), ('Task', 'due', 'single'), ('Task', 'done_at', 'single')"""
 _CHANGES = _FOLD + f""", sch AS (SELECT * FROM (VALUES {_SCHEMA_ROWS}) t(entity_type, field, cardinality)),
 changes AS (SELECT c.entity_id, c.entity_type, c.field, c.value,
   CASE WHEN s.cardinality IS NULL THEN 'refused_unknown' WHEN c.field IN ('salience', 'last_contact_at') THEN 'refused_derived' WHEN h.value IS NOT NULL THEN 'already_held'
        WHEN s.cardinality = 'set' THEN 'add_to_set' ELSE 'set_field' END AS change
-FROM (SELECT DISTINCT l.aggregate_id AS entity_id, b.entity_type, l.field, l.value FROM live l JOIN born b ON l.aggregate_id = b.aggregate_id WHERE type IN ('FieldSet', 'SetMemberAdded')) c
+FROM (SELECT DISTINCT l.aggregate_id AS entity_id, b.entity_type, l.field, l.value FROM live l JOIN born b ON l.aggregate_id = b.aggregate_id AND l.life = b.life WHERE type IN ('FieldSet', 'SetMemberAdded')) c
 LEFT JOIN sch s ON c.entity_type = s.entity_type AND c.field = s.field LEFT JOIN held h ON c.entity_id = h.entity_id AND c.field = h.field AND c.value = h.value)
 """
 
 
 def _changes(spark, sf_dir):
     events = _events(spark, sf_dir)
-    types = fold.created(events).select("aggregate_id", "entity_type")
-    claims = fold.effective_rows(events).filter("type IN ('FieldSet', 'SetMemberAdded')").join(types, "aggregate_id").select(F.col("aggregate_id").alias("entity_id"), "entity_type", "field", "value")
-    held = fold.fold_fields(events)
+    merges = fold.valid_merges(events)
+    types = fold.created(events, merges).select("aggregate_id", "entity_type")
+    claims = fold.survivors(fold.effective_rows(events, merges).filter("type IN ('FieldSet', 'SetMemberAdded')"), merges).join(types, "aggregate_id").select(F.col("aggregate_id").alias("entity_id"), "entity_type", "field", "value")
+    held = fold.fold_fields(events, merges)
     return triage.diff_entities(claims, held, triage.field_schema(spark)), held
 
 
@@ -278,25 +412,29 @@ def diff_entity(spark, sf_dir):
 WHERE h.field = 'blocker' AND c.entity_type = 'Project' AND c.field = 'status' AND c.change = 'set_field' AND c.value <> 's:blocked'""")
 def diff_dependents(spark, sf_dir):
     changes, held = _changes(spark, sf_dir)
-    return triage.diff_dependents(changes.filter("NOT (field = 'status' AND value = 's:blocked')"), held)
+    return triage.diff_dependents(changes, held)
 
 
 @query(_FOLD + f""", c AS (SELECT relation, from_id, from_type, to_id, to_type FROM rel UNION SELECT relation, to_id, to_type, from_id, from_type FROM rel)
 SELECT c.relation, c.from_id, c.to_id, c.from_type, c.to_type, {_VIOLATION.replace('relation NOT', 'c.relation NOT').replace('from_id =', 'c.from_id =').replace('= to_id', '= c.to_id').replace('(relation, from_type, to_type)', '(c.relation, c.from_type, c.to_type)')} AS violation,
-CASE WHEN violation IS NOT NULL THEN 'refused' WHEN (c.relation, c.from_id, c.to_id) IN (SELECT (relation, from_id, to_id) FROM rel) THEN 'already_held' ELSE 'relate' END AS change FROM c""")
+CASE WHEN violation IS NOT NULL THEN 'refused' WHEN (c.relation, c.from_id, c.to_id) IN (SELECT (relation, from_id, to_id) FROM rel) THEN 'already_held'
+WHEN c.relation = 'became' AND c.from_id IN (SELECT from_id FROM rel WHERE relation = 'became') THEN 'replace' ELSE 'relate' END AS change, CASE WHEN c.relation = 'became' THEN 'review' ELSE 'auto' END AS floor FROM c""")
 def diff_relations(spark, sf_dir):
     held = fold.fold_relations(_events(spark, sf_dir))
     turned = held.select("relation", F.col("to_id").alias("from_id"), F.col("to_type").alias("from_type"), F.col("from_id").alias("to_id"), F.col("from_type").alias("to_type"))
     return triage.diff_relations(held.unionByName(turned), held)
 
 
-@query(_FOLD + """SELECT aggregate_id AS entity_id, field, value, position, CASE WHEN lower(trim(substr(value, 3))) IN ('open', 'done', 'active', 'blocked', 'paused', 'dropped') THEN lower(trim(substr(value, 3))) ELSE 'other' END AS parsed,
-CASE WHEN lower(trim(substr(value, 3))) NOT IN ('open', 'done', 'active', 'blocked', 'paused', 'dropped') THEN field || ': ' || substr(value, 3) END AS note
-FROM live WHERE field = 'status' AND type = 'FieldSet'""")
+@query(_FOLD + """, members AS (SELECT * FROM (VALUES ('Person', 'relationship', ['colleague', 'friend', 'family', 'client', 'acquaintance', 'other']), ('Project', 'status', ['active', 'blocked', 'paused', 'done', 'abandoned']),
+  ('Idea', 'status', ['open', 'promoted', 'dropped']), ('Event', 'kind', ['meeting', 'call', 'deadline', 'milestone', 'social', 'other']), ('Task', 'status', ['open', 'done', 'dropped'])) t(entity_type, field, known)),
+said AS (SELECT l.aggregate_id AS entity_id, b.entity_type, l.field, l.value, position, known, lower(trim(substr(l.value, 3))) AS x FROM live l JOIN births b ON l.aggregate_id = b.aid AND l.life = b.life JOIN members m ON m.entity_type = b.entity_type AND m.field = l.field WHERE type = 'FieldSet')
+SELECT entity_id, entity_type, field, value, position, CASE WHEN list_contains(known, x) THEN x ELSE 'other' END AS parsed, CASE WHEN NOT list_contains(known, x) THEN field || ': ' || substr(value, 3) END AS note FROM said""")
 def enum_fallback(spark, sf_dir):
-    rows = fold.effective_rows(_events(spark, sf_dir)).filter("field = 'status' AND type = 'FieldSet'").select(F.col("aggregate_id").alias("entity_id"), "field", "value", "position")
-    said = rows.withColumn("typed", F.col("value")).withColumn("value", F.substring("value", 3, 1 << 20))
-    parsed = triage.enum_fallback(said, {"status": ("open", "done", "active", "blocked", "paused", "dropped")})
+    events = _events(spark, sf_dir)
+    merges = fold.valid_merges(events)
+    rows = fold.effective_rows(events, merges).filter("type = 'FieldSet'").join(fold.births(events, merges).select("aggregate_id", "life", "entity_type"), ["aggregate_id", "life"])
+    said = rows.select(F.col("aggregate_id").alias("entity_id"), "entity_type", "field", F.col("value").alias("typed"), F.substring("value", 3, 1 << 20).alias("value"), "position")
+    parsed = triage.enum_fallback(said).filter("parsed IS NOT NULL")
     return parsed.withColumn("value", F.col("typed")).drop("typed")
 
 
@@ -384,45 +522,95 @@ def review_queue(spark, sf_dir):
 
 # ---- resolution -------------------------------------------------------------------------------------------------
 
-_ASCII = "[^\\x20-\\x7E]"
+# DuckDB's levenshtein counts bytes: letters of two bytes are mapped one to one to capitals, which lower-case text doesn't hold
+_LETTERS = "'éóüöïñáøçèàâäãåêëìîíòôõúùûý', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ^'"
 _SIM = "CASE WHEN length(x) = 0 OR length(y) = 0 THEN 0.0 WHEN x = y THEN 1.0 ELSE 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END"
-_NORM = "trim(regexp_replace(lower(regexp_replace({}, '" + _ASCII + "', '?', 'g')), '\\s+', ' ', 'g'))"
-_RESOLVE = f"""
-WITH ent AS (SELECT DISTINCT entity_id, entity_type, {_NORM.format('name')} AS y FROM projection_entities WHERE name IS NOT NULL),
+_NORM = "trim(regexp_replace(translate(lower(replace({}, chr(160), ' ')), " + _LETTERS + "), '\\s+', ' ', 'g'))"
+_RESOLVE = _FOLD + f"""
+, ent AS (SELECT DISTINCT entity_id, entity_type, {_NORM.format('name')} AS y FROM projection_entities WHERE name IS NOT NULL),
 nam AS (SELECT DISTINCT * FROM (SELECT * FROM ent UNION ALL SELECT a.entity_id, e.entity_type, {_NORM.format('a.alias')} FROM projection_aliases a JOIN ent e ON a.entity_id = e.entity_id WHERE a.alias IS NOT NULL) WHERE y <> ''),
 men AS (SELECT DISTINCT entity_type || '|' || mention_text AS mention_id, entity_type, {_NORM.format('mention_text')} AS x FROM adjudication_requests WHERE mention_text IS NOT NULL),
 ex AS (SELECT DISTINCT mention_id, entity_id FROM men m JOIN nam n ON m.entity_type = n.entity_type AND m.x = n.y),
 fz AS (SELECT mention_id, entity_id, max(s) AS similarity FROM (SELECT mention_id, entity_id, {_SIM} AS s FROM men m JOIN ent n ON m.entity_type = n.entity_type) WHERE s >= 0.7 GROUP BY 1, 2),
-cand AS (SELECT mention_id, entity_id, count(DISTINCT s) AS sources, min(s) AS source_rank FROM (SELECT *, 0 AS s FROM ex UNION ALL SELECT mention_id, entity_id, 1 FROM fz) GROUP BY 1, 2),
-sc AS (SELECT c.*, (SELECT max({_SIM}) FROM men m, nam n WHERE m.mention_id = c.mention_id AND n.entity_id = c.entity_id) AS name_similarity FROM cand c),
-scored AS (SELECT *, least(greatest(0.75 * name_similarity + 0.1 * sources / 3, 0.0), 1.0) AS score FROM sc),
-ranked AS (SELECT *, row_number() OVER w AS choice, lead(score) OVER w AS runner_up FROM scored WINDOW w AS (PARTITION BY mention_id ORDER BY round(score, 9) DESC, source_rank, entity_id))
+vec AS (SELECT entity_id, entity_type, arg_min(embedding::DOUBLE[], embedding) AS v FROM projection_embeddings WHERE model_version = 'hashvec-384-r2' AND len(embedding) = 384 AND len(list_filter(embedding, lambda q: q IS NULL OR NOT isfinite(q))) = 0 AND len(list_filter(embedding, lambda q: q <> 0)) > 0 GROUP BY 1, 2),
+qv AS (SELECT x.mention_id, v.entity_type, v.v FROM (SELECT mention_id, min(entity_id) AS entity_id FROM ex WHERE entity_id IN (SELECT entity_id FROM vec) GROUP BY 1) x JOIN men m ON x.mention_id = m.mention_id JOIN vec v ON v.entity_id = x.entity_id AND v.entity_type = m.entity_type),
+nv AS (SELECT mention_id, entity_id FROM (SELECT q.mention_id, e.entity_id, round(1 - list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 9) AS d FROM qv q JOIN vec e ON q.entity_type = e.entity_type) QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY d, entity_id) <= 20),
+cand AS (SELECT mention_id, entity_id, count(DISTINCT s) AS sources, min(s) AS source_rank FROM (SELECT *, 0 AS s FROM ex UNION ALL SELECT mention_id, entity_id, 1 FROM fz UNION ALL SELECT mention_id, entity_id, 2 FROM nv) GROUP BY 1, 2),
+occ AS (SELECT DISTINCT capture_id, entity_type || '|' || mention_text AS mention_id FROM adjudication_requests WHERE mention_text IS NOT NULL AND capture_id IS NOT NULL),
+res AS (SELECT mention_id, min(entity_id) AS entity_id FROM ex GROUP BY 1),
+co AS (SELECT DISTINCT a.mention_id, a.capture_id, r.entity_id AS other FROM occ a JOIN occ b ON a.capture_id = b.capture_id AND a.mention_id <> b.mention_id JOIN res r ON r.mention_id = b.mention_id),
+edge AS (SELECT from_id AS a, to_id AS b FROM rel UNION SELECT to_id, from_id FROM rel),
+tg AS (SELECT mention_id, entity_id, max(part) AS together FROM (SELECT c.mention_id, c.entity_id, co.capture_id, count(*) / (SELECT count(*) FROM co n WHERE n.mention_id = c.mention_id AND n.capture_id = co.capture_id) AS part
+  FROM cand c JOIN co ON c.mention_id = co.mention_id JOIN edge e ON e.a = c.entity_id AND e.b = co.other GROUP BY 1, 2, 3) GROUP BY 1, 2),
+sc AS (SELECT c.*, coalesce(t.together, 0) AS together, (SELECT max({_SIM}) FROM men m, nam n WHERE m.mention_id = c.mention_id AND n.entity_id = c.entity_id) AS name_similarity FROM cand c LEFT JOIN tg t ON c.mention_id = t.mention_id AND c.entity_id = t.entity_id),
+scored AS (SELECT *, round(least(greatest(0.75 * coalesce(name_similarity, 0) + 0.1 * sources / 3 + 0.1 * together, 0.0), 1.0), 9) AS score FROM sc),
+ranked AS (SELECT *, row_number() OVER w AS choice, lead(score) OVER w AS runner_up FROM scored WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, source_rank, entity_id))
 """
 
 
-def _ascii(column):
-    return F.regexp_replace(column, _ASCII, "?")
-
-
 def _parties(spark, sf_dir):
-    entities = table(spark, sf_dir, "projection_entities").filter("name IS NOT NULL").select("entity_id", "entity_type", _ascii("name").alias("name")).distinct()
-    aliases = table(spark, sf_dir, "projection_aliases").filter("alias IS NOT NULL").select("entity_id", _ascii("alias").alias("alias"))
-    asked = table(spark, sf_dir, "adjudication_requests").filter("mention_text IS NOT NULL").select(F.concat_ws("|", "entity_type", "mention_text").alias("mention_id"), _ascii("mention_text").alias("mention_text"), "entity_type").distinct()
+    entities = table(spark, sf_dir, "projection_entities").filter("name IS NOT NULL").select("entity_id", "entity_type", "name").distinct()
+    aliases = table(spark, sf_dir, "projection_aliases").filter("alias IS NOT NULL").select("entity_id", "alias")
+    asked = table(spark, sf_dir, "adjudication_requests").filter("mention_text IS NOT NULL").select(F.concat_ws("|", "entity_type", "mention_text").alias("mention_id"), "mention_text", "entity_type").distinct()
     return entities, aliases, asked
 
 
-def _scored(spark, sf_dir):
+def _vectors(spark, sf_dir):
+    """Usable vectors of the current model, one for an entity."""
+    v = F.col("embedding")
+    usable = table(spark, sf_dir, "projection_embeddings").filter("model_version = 'hashvec-384-r2' AND size(embedding) = 384").filter(
+        F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    )
+    return usable.groupBy("entity_id", "entity_type").agg(F.min("embedding").alias("embedding"))
+
+
+def _sources(spark, sf_dir):
+    """Candidates of all three sources. A mention's vector is that of an entity of just its name, in place of an embedding port."""
     entities, aliases, asked = _parties(spark, sf_dir)
     names = resolution.all_names(entities, aliases)
-    found = resolution.candidate_union(resolution.exact_candidates(asked, names), resolution.fuzzy_candidates(asked, entities))
-    return resolution.score_candidates(found, asked, names).withColumn("score", F.round("score", 9)), asked
+    exact = cut(resolution.exact_candidates(asked, names))
+    vectors = cut(_vectors(spark, sf_dir))
+    own = exact.join(vectors.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("mention_id").agg(F.min("entity_id").alias("entity_id"))
+    asked_vectors = own.join(asked.select("mention_id", "entity_type"), "mention_id").join(vectors.withColumnRenamed("embedding", "vector"), ["entity_id", "entity_type"]).select("mention_id", "entity_type", "vector")
+    found = resolution.candidate_union(exact, resolution.fuzzy_candidates(asked, entities), resolution.nearest_candidates(asked_vectors, vectors))
+    return cut(found), exact, names, asked
+
+
+def _scored(spark, sf_dir):
+    found, exact, names, asked = _sources(spark, sf_dir)
+    places = table(spark, sf_dir, "adjudication_requests").filter("mention_text IS NOT NULL").select(F.concat_ws("|", "entity_type", "mention_text").alias("mention_id"), "capture_id")
+    resolved = exact.groupBy("mention_id").agg(F.min("entity_id").alias("entity_id"))
+    events = _events(spark, sf_dir)
+    merges = fold.valid_merges(events)
+    together = resolution.co_occurrence(found, places, resolved, fold.fold_relations(events, merges))
+    contact = fold.fold_fields(events, merges).filter("field = 'last_contact_at' AND value LIKE 'd:%'").groupBy("entity_id").agg(F.max(F.try_to_timestamp(F.substring_index(F.substring("value", 3, 1 << 20), "|", 1))).alias("last_contact"))
+    days = contact.select("entity_id", (F.datediff(now(), F.col("last_contact"))).cast("double").alias("days_since_contact"))
+    featured = found.join(together, ["mention_id", "entity_id"], "left").join(days, "entity_id", "left")
+    return cut(resolution.score_candidates(featured, asked, names).withColumn("score", F.round("score", 9))), asked
+
+
+@query(_RESOLVE + "SELECT mention_id, entity_id, round(together, 9) AS together FROM tg")
+def co_occurrence(spark, sf_dir):
+    return _scored(spark, sf_dir)[0].filter("together IS NOT NULL").select("mention_id", "entity_id", F.round("together", 9).alias("together"))
+
+
+@query(_RESOLVE + """, o AS (SELECT m.mention_id, m.x, coalesce(score, 0) AS s, r.entity_id, coalesce(score >= 0.55 AND round(coalesce(score - runner_up, (score - 0.55) / 0.45), 7) < 0.15, false) AS unsure FROM men m LEFT JOIN ranked r ON m.mention_id = r.mention_id AND choice = 1),
+a AS (SELECT o.*, length(mention_id) % 6 AS answer, (SELECT least(count(*), 4) FROM ranked q WHERE q.mention_id = o.mention_id) AS options FROM o)
+SELECT mention_id, CASE WHEN s < 0.35 THEN 'unambiguous' WHEN s < 0.55 OR (unsure AND (answer < 1 OR answer > options)) THEN 'rejected_candidates' ELSE 'matched' END AS outcome,
+CASE WHEN s >= 0.55 AND NOT unsure THEN entity_id WHEN unsure THEN (SELECT q.entity_id FROM ranked q WHERE q.mention_id = a.mention_id AND q.choice = a.answer AND a.answer BETWEEN 1 AND options) END AS entity_id FROM a""")
+def resolution_adjudicated(spark, sf_dir):
+    """Ambiguous mentions decided by an answer; here a port that answers by the length of the id, so also none and out of range."""
+    scored, asked = _scored(spark, sf_dir)
+    out = resolution.resolve(scored, asked).withColumn("is_ambiguous", F.coalesce((F.col("outcome") == "matched") & (F.round("margin", 7) < resolution.CLEAR_MARGIN), F.lit(False)))
+    answers = asked.select("mention_id", (F.length("mention_id") % 6).alias("choice")).distinct()
+    return resolution.adjudicate(out, resolution.shortlist(scored), answers).select("mention_id", "outcome", "entity_id")
 
 
 @query(f"SELECT DISTINCT a.entity_id, a.alias, round({_SIM}, 9) AS similarity FROM (SELECT a.entity_id, a.alias, {_NORM.format('a.alias')} AS x, {_NORM.format('e.name')} AS y FROM projection_aliases a JOIN projection_entities e ON a.entity_id = e.entity_id) a WHERE a.alias IS NOT NULL")
 def name_similarities(spark, sf_dir):
     named = table(spark, sf_dir, "projection_entities").select("entity_id", "name")
     rows = table(spark, sf_dir, "projection_aliases").filter("alias IS NOT NULL").join(named, "entity_id")
-    return rows.select("entity_id", "alias", F.round(name_similarity(_ascii("alias"), _ascii("name")), 9).alias("similarity")).distinct()
+    return rows.select("entity_id", "alias", F.round(name_similarity(F.col("alias"), F.col("name")), 9).alias("similarity")).distinct()
 
 
 @query(_RESOLVE + "SELECT * FROM ex")
@@ -439,7 +627,7 @@ def fuzzy_name_candidates(spark, sf_dir):
 
 @query(_RESOLVE + "SELECT * FROM cand")
 def candidate_union(spark, sf_dir):
-    return _scored(spark, sf_dir)[0].select("mention_id", "entity_id", "sources", "source_rank")
+    return _sources(spark, sf_dir)[0].select("mention_id", "entity_id", "sources", "source_rank")
 
 
 @query(_RESOLVE + "SELECT mention_id, entity_id, round(score, 6) AS score FROM scored")
@@ -555,7 +743,9 @@ def daily_brief(spark, sf_dir):
 
 
 @query(_SALIENT + f""", act AS (SELECT entity_id, this_week, last_week, status_changed, (epoch_ms(TIMESTAMPTZ '{NOW}+00') - epoch_ms(first_at)) / 86400000.0 BETWEEN 0 AND 7 AS is_new FROM hist),
-kn AS (SELECT s.*, coalesce(this_week, 0) AS tw, coalesce(last_week, 0) AS lw, coalesce(status_changed, false) AS sc, coalesce(is_new, false) AS is_new FROM sal s LEFT JOIN act USING (entity_id)),
+e AS (SELECT from_id AS id, to_id AS other, to_type AS t FROM rel UNION SELECT to_id, from_id, from_type FROM rel), asc_ AS (SELECT id, max(coalesce(salience, 0.0)) AS association FROM e LEFT JOIN sal ON other = entity_id WHERE t IN ('Project', 'Task', 'Event') GROUP BY 1),
+ranked AS (SELECT sal.* REPLACE (CASE WHEN entity_type = 'Person' THEN round(least(recency + coalesce(association, 0.0), 100.0), 6) ELSE salience END AS salience) FROM sal LEFT JOIN asc_ ON entity_id = id),
+kn AS (SELECT s.*, coalesce(this_week, 0) AS tw, coalesce(last_week, 0) AS lw, coalesce(status_changed, false) AS sc, coalesce(is_new, false) AS is_new FROM ranked s LEFT JOIN act USING (entity_id)),
 parts AS (SELECT 'What moved' AS heading, * FROM kn WHERE sc OR tw > lw UNION ALL SELECT 'What didn''t', * FROM kn WHERE open_loop > 0 AND tw = 0 UNION ALL SELECT 'Open loops', * FROM kn WHERE open_loop > 0
   UNION ALL SELECT 'New this week', * FROM kn WHERE is_new UNION ALL SELECT 'People', * FROM kn WHERE entity_type = 'Person' AND tw > 0),
 rk AS (SELECT *, row_number() OVER (PARTITION BY heading ORDER BY salience DESC, entity_id) AS rank FROM parts)
@@ -563,7 +753,7 @@ SELECT heading, rank, entity_id, entity_type, salience FROM rk WHERE rank <= CAS
 def weekly_brief(spark, sf_dir):
     scored = _salient(spark, sf_dir)
     activity = scored.select("entity_id", "this_week", "last_week", "status_changed", ((F.unix_millis(now()) - F.unix_millis("first_at")) / 86_400_000.0).between(0, 7).alias("is_new"))
-    plain = scored.drop("this_week", "last_week", "status_changed", "changes_ever", "first_at", "last_at")
+    plain = salience.with_association(scored, fold.fold_relations(_events(spark, sf_dir))).withColumn("salience", F.round("salience", 6)).drop("this_week", "last_week", "status_changed", "changes_ever", "first_at", "last_at")
     return salience.weekly_sections(plain, activity).select("heading", F.col("rank").cast("long").alias("rank"), "entity_id", "entity_type", "salience")
 
 
@@ -584,7 +774,7 @@ def attention_signal(spark, sf_dir):
     return signal.withColumn("mean_unsurfaced_salience", F.round("mean_unsurfaced_salience", 9))
 
 
-_TOKENS = "list_filter(string_split_regex(translate(lower({}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿø', 'aaaaaaeeeeiiiiooooouuuuncyyo'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda t: t <> '')"
+_TOKENS = "list_filter(string_split_regex(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda t: t <> '')"
 
 
 def _bm25(source: str, phrase: list[str]) -> str:
@@ -593,16 +783,32 @@ def _bm25(source: str, phrase: list[str]) -> str:
 g AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (f > 0) AS hits FROM c) SELECT doc_key, round(-greatest(ln((docs - hits + 0.5) / (hits + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, g WHERE f > 0"""
 
 
-@query(_bm25("SELECT capture_id AS doc_key, min(coalesce(corrected_text, raw_text)) AS text FROM captures GROUP BY 1", ["price", "table"]))
+_CAPTURE_TEXTS = "SELECT capture_id AS doc_key, min(coalesce(corrected_text, raw_text)) AS text FROM captures GROUP BY 1"
+
+
+def _capture_texts(spark, sf_dir):
+    return captures.effective_text(table(spark, sf_dir, "captures")).withColumnRenamed("capture_id", "doc_key")
+
+
+@query(_bm25(_CAPTURE_TEXTS, ["price", "table"]))
 def capture_search(spark, sf_dir):
-    texts = captures.effective_text(table(spark, sf_dir, "captures")).withColumnRenamed("capture_id", "doc_key")
-    return search.search(texts, "price-table", limit=None).withColumn("score", F.round("score", 6))
+    return search.search(_capture_texts(spark, sf_dir), "price-table", limit=None).withColumn("score", F.round("score", 6))
+
+
+@query(_bm25(_CAPTURE_TEXTS, ["zsofia"]))
+def capture_search_accents(spark, sf_dir):
+    return search.search(_capture_texts(spark, sf_dir), "ZSÓFIA", limit=None).withColumn("score", F.round("score", 6))
 
 
-@query(_bm25("SELECT entity_id AS doc_key, min(name) AS text FROM projection_entities GROUP BY 1", ["museum"]))
+@query(_bm25(_CAPTURE_TEXTS, ["price", "table"]))
+def capture_search_postings(spark, sf_dir):
+    postings, lengths = search.build_index(_capture_texts(spark, sf_dir))
+    return search.search_index(postings, lengths, "price-table", limit=None).withColumn("score", F.round("score", 6))
+
+
+@query(_FOLD + ", st AS (SELECT entity_id AS doc_key, string_agg(substr(value, 3), ' ' ORDER BY position, substr(value, 3)) AS text FROM held WHERE value LIKE 's:%' GROUP BY 1) " + _bm25("FROM st", ["museum"]).replace("WITH d AS", ", d AS", 1).lstrip())
 def entity_search_bm25(spark, sf_dir):
-    texts = table(spark, sf_dir, "projection_entities").groupBy(F.col("entity_id").alias("doc_key")).agg(F.min("name").alias("text"))
-    return search.search(texts, "Museum", limit=None).withColumn("score", F.round("score", 6))
+    return search.search(reads.entity_texts(_events(spark, sf_dir)), "Museum", limit=None).withColumn("score", F.round("score", 6))
 
 
 @query("""SELECT round(sum(correct) / sum(expected), 9) AS recall, round(sum(correct) / sum(found), 9) AS precision, round(avg(c), 9) AS mean_confidence
@@ -629,15 +835,6 @@ def greedy_mention_match(spark, sf_dir):
     return evaluation.greedy_matches(expected, actual)
 
 
-@query(_FOLD + "SELECT * FROM held")
-def stream_catch_up(spark, sf_dir):
-    from lorefold.streaming.catch_up import catch_up, shared_folder
-
-    table(spark, sf_dir, "event_log")
-    base = shared_folder(spark, "catch-up")
-    return catch_up(spark, f"{sf_dir}/event_log.parquet", f"{base}/state", f"{base}/checkpoint")
-
-
 @query(_FOLD + "SELECT entity_id, field, field || ': ' || coalesce(substr(value, 3), 'null') AS note FROM held")
 def held_notes(spark, sf_dir):
     return fold.fold_fields(_events(spark, sf_dir)).select("entity_id", "field", note_of(F.col("field"), F.substring("value", 3, 1 << 20)).alias("note"))

@@ -9,7 +9,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 
 from lorefold.operators.change_feed import current_fields
-from lorefold.operators.history import attribute_history
+from lorefold.operators.history import attribute_history, build_store
 
 START = datetime(2025, 1, 1, tzinfo=UTC)
 SCHEMA = "position long, event_id string, type string, aggregate_type string, aggregate_id string, aggregate_version long, payload string, recorded_at timestamp, clash string"
@@ -97,7 +97,7 @@ def random_log(rng, aggregates=4, events=60):
     rows, versions, minute = [], dict.fromkeys(range(aggregates), 0), 0
     for i in range(events):
         a = 0 if rng.random() < 0.4 else rng.randrange(aggregates)
-        minute += rng.choice([0, 0, 1, 5])
+        minute += rng.choice([0, 0, 1, 5, -4])
         kind = rng.choice(["EntityCreated", "FieldSet", "FieldSet", "FieldSet", "FieldCleared", "SetMemberAdded", "EntitiesMerged" if rng.random() < 0.2 else "FieldSet"])
         field, value = rng.choice("fg"), rng.choice(["u", "v", {"timestamp": None, "precision": "day", "phrase": str(i)}, {"precision": "day", "timestamp": "2025-01-01T00:00:00.000Z", "phrase": "x"}])
         payload = {"EntityCreated": {"name": "n", "entityType": "Person"}, "FieldCleared": {"because": "b", "field": field}, "EntitiesMerged": {"mergedId": f"a{rng.randrange(aggregates)}"}}.get(kind, {"field": field, "value": value})
@@ -115,17 +115,32 @@ def random_log(rng, aggregates=4, events=60):
 @pytest.mark.parametrize("seed", range(4))
 def test_random_logs(spark, seed):
     rows = random_log(random.Random(seed))
-    # times must not fall while versions rise, as in a real log
-    fixed = {}
-    for r in sorted(rows, key=lambda r: (r[4], r[5], r[0])):
-        fixed[r[4]] = max(fixed.get(r[4], r[7]), r[7])
     log = spark.createDataFrame(rows, SCHEMA)
     for segment in (3, 4096):
         assert {tuple(r) for r in current_fields(log, segment).collect()} == replayed(rows)
-    if all(a[7] <= b[7] for a, b in zip(*(lambda s: (s, s[1:]))([r for r, _ in standing(rows)])) if a[4] == b[4]):
-        for segment in (3, 2048):
-            got = {(r.aggregate_id, r.field_name, r.valid_from_us, r.valid_to_us) for r in attribute_history(log, segment).collect()}
-            assert got == periods(rows)
+    for changes_apart in (1, 3, 2048):  # times fall with the versions in these logs
+        got = {(r.aggregate_id, r.field_name, r.valid_from_us, r.valid_to_us) for r in attribute_history(log, changes_apart).collect()}
+        assert got == periods(rows)
+
+
+def test_history_of_falling_times(spark):
+    rows = [event(i + 1, f"e{i}", "FieldSet", "a", i + 1, {"field": "f", "value": f"v{i}"}, minute) for i, minute in enumerate((10, 30, 20, 40))]
+    log = spark.createDataFrame(rows, SCHEMA)
+    for changes_apart in (1, 2, 3, 2048):
+        got = {(r.aggregate_id, r.field_name, r.valid_from_us, r.valid_to_us) for r in attribute_history(log, changes_apart).collect()}
+        assert got == periods(rows) and len(got) == 4
+
+
+def test_checkpoints_are_full_versions(spark):
+    """Every checkpoint holds every field held then, also those that its segment leaves alone."""
+    rows = [event(1, "n", "FieldSet", "a", 1, {"field": "still", "value": "s"}, 0)]
+    rows += [event(i + 2, f"e{i}", "FieldSet", "a", i + 2, {"field": "f", "value": f"v{i}"}, i + 1) for i in range(8)]
+    store = build_store(spark.createDataFrame(rows, SCHEMA), 2)
+    held = {}
+    for r in store.checkpoints.collect():
+        held.setdefault(r.segment, set()).add(r.field_name)
+    assert held and all("still" in fields for segment, fields in held.items())
+    assert len(held) == store.patches.agg({"segment": "max"}).first()[0]
 
 
 def test_history_over_segments(spark):
