@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorefold.operators.entity_changes import value_key
@@ -41,33 +43,59 @@ def read_log(log: DataFrame) -> DataFrame:
     )
 
 
-def valid_merges(events: DataFrame) -> DataFrame:
-    """(position, event_id, survivor, loser): merges whose two sides were live and different at the time.
+@dataclass
+class Lineage:
+    """Which entities there are and were.
+
+    merges: (position, event_id, survivor, loser) of the valid merges; births:
+    (aggregate_id, life, entity_type, created_position), the creation that
+    counts of every life. Both are checkpointed.
+    """
+
+    merges: DataFrame
+    births: DataFrame
+
+
+def lineage(events: DataFrame) -> Lineage:
+    """Merges whose two sides were live and different at the time, and the lives of entities between them.
 
     Existence depends on creations and merges alone. An entity is live from a
     creation until a valid merge takes it; a merge is valid if both are. The
     rounds settle all merges whose earlier ones are settled; there are as many
-    as the longest chain of merges that depend on each other.
+    as the longest chain of merges that depend on each other, and none if no
+    merge takes an entity that an earlier one has taken. The log is read once.
     """
-    merges = cut(events.filter("merged_id IS NOT NULL AND merged_id <> aggregate_id").select("position", "event_id", F.col("aggregate_id").alias("survivor"), F.col("merged_id").alias("loser")))
-    sides = merges.select("event_id", "position", F.explode(F.array("survivor", "loser")).alias("id"))
-    births = events.filter("type = 'EntityCreated' AND field IS NOT NULL").select(F.col("aggregate_id").alias("id"), F.col("position").alias("p"))
-    # creations of ids that are merged; of each side the last creation before the merge
-    born = cut(
-        births.join(sides, "id").filter("p < position").groupBy("event_id", "position", "id").agg(F.max("p").alias("born"))
+    kept = cut(
+        events.filter("(type = 'EntitiesMerged' AND merged_id IS NOT NULL AND merged_id <> aggregate_id) OR (type = 'EntityCreated' AND field IS NOT NULL)")
+        .select("type", "position", "event_id", "aggregate_id", "merged_id", "entity_type")
     )
-    both = born.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("event_id")
-    base, born = merges.join(both, "event_id"), cut(born.join(both, "event_id"))
+    creations = kept.filter("type = 'EntityCreated'").select("aggregate_id", "position", "entity_type")
+    merges = kept.filter("type = 'EntitiesMerged'").select("position", "event_id", F.col("aggregate_id").alias("survivor"), F.col("merged_id").alias("loser"))
+    sides = merges.select("event_id", "position", F.explode(F.array("survivor", "loser")).alias("id"))
+    # of each side the last creation before the merge; a merge without two has a side that never was
+    last = creations.select(F.col("aggregate_id").alias("id"), F.col("position").alias("p")).join(sides, "id").filter("p < position").groupBy("event_id", "position", "id").agg(F.max("p").alias("born"))
+    born = cut(last.withColumn("sides", F.count(F.lit(1)).over(Window.partitionBy("event_id"))).filter("sides = 2").drop("sides"))
+    base = merges.join(born.select("event_id").distinct(), "event_id", "left_semi")
     valid, seen = base, None
     while True:
-        taken = valid.groupBy(F.col("loser").alias("id")).agg(F.collect_list("position").alias("deaths"))
-        last = F.array_max(F.filter("deaths", lambda d: d < F.col("position")))
-        dead = born.join(taken, "id", "left").filter(F.coalesce(last > F.col("born"), F.lit(False))).select("event_id")
-        valid = cut(base.join(dead.distinct(), "event_id", "left_anti"))
-        state = valid.agg(F.count(F.lit(1)), F.sum(F.xxhash64("event_id").cast("decimal(38,0)"))).first()
+        taken = valid.groupBy(F.col("loser").alias("id")).agg(F.collect_list("position").alias("deaths"))  # one each time the id was merged away
+        before = F.array_max(F.filter("deaths", lambda d: d < F.col("position")))
+        dead = cut(born.join(taken, "id").filter(F.coalesce(before > F.col("born"), F.lit(False))).select("event_id").distinct())
+        state = dead.agg(F.count(F.lit(1)), F.sum(F.xxhash64("event_id").cast("decimal(38,0)"))).first()
         if state == seen:
-            return valid.select("position", "event_id", "survivor", "loser")
+            break
+        valid = base.join(dead, "event_id", "left_anti")
+        if not state[0]:
+            break
         seen = state
+    merges = cut(valid.select("position", "event_id", "survivor", "loser"))
+    births = _lives(creations, merges).groupBy(*_KEY).agg(F.min_by("entity_type", "position").alias("entity_type"), F.min("position").alias("created_position"))
+    return Lineage(merges, cut(births))
+
+
+def valid_merges(events: DataFrame) -> DataFrame:
+    """(position, event_id, survivor, loser) of the valid merges."""
+    return lineage(events).merges
 
 
 def fates(merges: DataFrame) -> DataFrame:
@@ -94,29 +122,25 @@ def _lives(rows: DataFrame, merges: DataFrame) -> DataFrame:
     return rows.join(deaths, "aggregate_id", "left").withColumn("life", F.coalesce(F.size(F.filter("deaths", lambda d: d < F.col("position"))), F.lit(0))).drop("deaths")
 
 
-def births(events: DataFrame, merges: DataFrame) -> DataFrame:
-    """(aggregate_id, life, entity_type, created_position): the creation that counts of every life."""
-    creations = events.filter("type = 'EntityCreated' AND field IS NOT NULL").select("aggregate_id", "position", "entity_type")
-    return _lives(creations, merges).groupBy(*_KEY).agg(F.min_by("entity_type", "position").alias("entity_type"), F.min("position").alias("created_position"))
-
-
 def survivors(lives: DataFrame, merges: DataFrame) -> DataFrame:
     """The ``lives`` that no merge has ended."""
     ended = merges.groupBy(F.col("loser").alias("aggregate_id")).agg(F.count(F.lit(1)).alias("ended"))
     return lives.join(ended, "aggregate_id", "left").filter(F.col("life") == F.coalesce("ended", F.lit(0))).drop("ended")
 
 
-def created(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+def created(events: DataFrame, line: Lineage | None = None) -> DataFrame:
     """(aggregate_id, entity_type, created_position): entities that exist, by their first creation since they last didn't."""
-    merges = valid_merges(events) if merges is None else merges
-    return survivors(births(events, merges), merges).select("aggregate_id", "entity_type", "created_position")
+    line = lineage(events) if line is None else line
+    merges = line.merges
+    return survivors(line.births, merges).select("aggregate_id", "entity_type", "created_position")
 
 
-def effective_rows(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+def effective_rows(events: DataFrame, line: Lineage | None = None) -> DataFrame:
     """Field events that touch a live entity: the creation (as a write of ``name``) and what follows it, with the ``life`` they fall in."""
-    merges = valid_merges(events) if merges is None else merges
+    line = lineage(events) if line is None else line
+    merges = line.merges
     writes = _lives(events.filter(F.col("type").isin(*WRITES) & F.col("field").isNotNull()), merges)
-    return writes.join(births(events, merges), [*_KEY]).filter(
+    return writes.join(line.births, [*_KEY]).filter(
         (F.col("position") > F.col("created_position")) & (F.col("type") != "EntityCreated") | (F.col("position") == F.col("created_position"))
     ).select("aggregate_id", "life", "field", "value", "type", "position", "event_id", "recorded_at")
 
@@ -164,7 +188,7 @@ def _settle(rows: DataFrame, births: DataFrame) -> DataFrame:
     return plain.select(*columns).unionByName(kept).unionByName(notes)
 
 
-def folded_rows(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+def folded_rows(events: DataFrame, line: Lineage | None = None) -> DataFrame:
     """Effective rows of every life with what survivors absorbed: (aggregate_id, life, field, value, type, position, event_id, pointer, merge_id).
 
     ``pointer`` is the event that explains the value, ``merge_id`` the merge a
@@ -172,28 +196,31 @@ def folded_rows(events: DataFrame, merges: DataFrame | None = None) -> DataFrame
     rounds as merges build on merges; each round folds the losers of that
     round only. Notes that a merge adds are members of the survivor's notes.
     """
-    merges = valid_merges(events) if merges is None else merges
-    birth_rows = births(events, merges)
-    own = effective_rows(events, merges).drop("recorded_at").withColumn("pointer", F.col("event_id")).withColumn("merge_id", F.lit(None).cast("string"))
-    pending = cut(_lives(_lives(merges.withColumnRenamed("loser", "aggregate_id"), merges).withColumnRenamed("life", "loser_life").withColumnRenamed("aggregate_id", "loser").withColumnRenamed("survivor", "aggregate_id"), merges))
-    if pending.isEmpty():
+    line = lineage(events) if line is None else line
+    merges = line.merges
+    own = effective_rows(events, line).drop("recorded_at").withColumn("pointer", F.col("event_id")).withColumn("merge_id", F.lit(None).cast("string"))
+    sides = _lives(merges.withColumnRenamed("loser", "aggregate_id"), merges).withColumnRenamed("life", "loser_life").withColumnRenamed("aggregate_id", "loser").withColumnRenamed("survivor", "aggregate_id")
+    pending = cut(_lives(sides, merges))
+    left = pending.count()
+    if not left:
         return own
     ids = pending.select(F.explode(F.array(F.struct(F.col("loser").alias("id"), F.col("loser_life").alias("life")), F.struct(F.col("aggregate_id").alias("id"), "life"))).alias("k")).select(F.col("k.id").alias("aggregate_id"), F.col("k.life").alias("life")).distinct()
     merged = cut(own.join(ids, [*_KEY], "left_semi"))
-    while not pending.isEmpty():
-        first = pending.groupBy(F.col("aggregate_id").alias("loser"), F.col("life").alias("loser_life")).agg(F.min("position").alias("p"))  # merges into a loser come before
-        ready = cut(pending.join(first, ["loser", "loser_life"], "left").filter("p IS NULL").drop("p"))
-        pending = cut(pending.join(ready.select("event_id"), "event_id", "left_anti"))
+    while left:
+        into = pending.select(F.col("aggregate_id").alias("loser"), F.col("life").alias("loser_life")).distinct()  # merges into a loser come before its own
+        waiting = cut(pending.join(into, ["loser", "loser_life"], "left_semi"))
+        ready = pending.join(waiting.select("event_id"), "event_id", "left_anti")
         lost = ready.select(F.col("loser").alias("aggregate_id"), F.col("loser_life").alias("life"))
-        brought = _held(_settle(merged.join(lost, [*_KEY], "left_semi"), birth_rows))
+        brought = _held(_settle(merged.join(lost, [*_KEY], "left_semi"), line.births))
         moved = ready.select(F.col("event_id").alias("merge_id"), "position", "aggregate_id", "life", "loser", "loser_life").join(
             brought.select(F.col("aggregate_id").alias("loser"), F.col("life").alias("loser_life"), "field", "value", "event_id", "pointer"), ["loser", "loser_life"]
         )
         merged = cut(merged.unionByName(moved.select("aggregate_id", "life", "field", "value", F.lit("Absorbed").alias("type"), "position", "event_id", "pointer", "merge_id")))
-    return own.join(ids, [*_KEY], "left_anti").unionByName(_settle(merged, birth_rows))
+        pending, left = waiting, waiting.count()
+    return own.join(ids, [*_KEY], "left_anti").unionByName(cut(_settle(merged, line.births)))
 
 
-def fold_fields(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+def fold_fields(events: DataFrame, line: Lineage | None = None) -> DataFrame:
     """(entity_id, field, value, event_id, position): every value held at the end, in log order by position.
 
     The last reset (creation, set or clear) of a field starts its final epoch;
@@ -201,27 +228,30 @@ def fold_fields(events: DataFrame, merges: DataFrame | None = None) -> DataFrame
     survivors took over stands at the merge. Only aggregates with map-side
     combine, but for the fields that a merge touched.
     """
-    merges = valid_merges(events) if merges is None else merges
-    held = survivors(_held(folded_rows(events, merges)), merges)
+    line = lineage(events) if line is None else line
+    merges = line.merges
+    held = survivors(_held(folded_rows(events, line)), merges)
     return held.select(F.col("aggregate_id").alias("entity_id"), "field", "value", "position", "event_id")
 
 
-def field_provenance(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+def field_provenance(events: DataFrame, line: Lineage | None = None) -> DataFrame:
     """(entity_id, field, event_id): the event that explains a field that is held.
 
     It is the last that effectively wrote it; a field taken over in a merge
     keeps the loser's, one that grew by a merge its own, but notes that a merge
     added to point to the merge.
     """
-    merges = valid_merges(events) if merges is None else merges
-    held = survivors(_held(folded_rows(events, merges)), merges)
+    line = lineage(events) if line is None else line
+    merges = line.merges
+    held = survivors(_held(folded_rows(events, line)), merges)
     return held.groupBy(F.col("aggregate_id").alias("entity_id"), "field").agg(F.max_by("pointer", F.when(F.col("pointer").isNotNull(), F.col("position"))).alias("event_id"))
 
 
-def entity_versions(events: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+def entity_versions(events: DataFrame, line: Lineage | None = None) -> DataFrame:
     """(entity_id, version): effective writes, clears whether they cleared anything or not, and one for each merge survived."""
-    merges = valid_merges(events) if merges is None else merges
-    rows = survivors(folded_rows(events, merges), merges)
+    line = lineage(events) if line is None else line
+    merges = line.merges
+    rows = survivors(folded_rows(events, line), merges)
     own = rows.filter("merge_id IS NULL")
     resets = own.filter("type <> 'SetMemberAdded'").groupBy("aggregate_id").agg(F.count(F.lit(1)).alias("n"))
     # a member counts once an epoch: only fields that gain members need their epochs, numbered by the last reset before
@@ -240,14 +270,15 @@ def written_relations(events: DataFrame) -> DataFrame:
     return rows.groupBy("relation", "from_id", "to_id").agg(F.max_by("from_type", "position").alias("from_type"), F.max_by("to_type", "position").alias("to_type"))
 
 
-def fold_relations(events: DataFrame, merges: DataFrame | None = None, types_of: str = "last") -> DataFrame:
+def fold_relations(events: DataFrame, line: Lineage | None = None, types_of: str = "last") -> DataFrame:
     """(relation, from_id, from_type, to_id, to_type): relations with ends moved along the merges that came after they were written.
 
     Self-loops that arise are kept, and what is written after a merge isn't
     moved. Relations that fall together are one, with the types of the last
     writer, or of the first as relation tables have it (``types_of="first"``).
     """
-    merges = valid_merges(events) if merges is None else merges
+    line = lineage(events) if line is None else line
+    merges = line.merges
     rows = events.filter("relation IS NOT NULL AND from_id IS NOT NULL AND to_id IS NOT NULL").select("relation", "from_id", "from_type", "to_id", "to_type", "position")
     ends = fates(merges)
     for end in ("from_id", "to_id"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorefold.operators.fold import created, field_provenance, fold_fields, fold_relations, valid_merges
+from lorefold.operators.fold import created, field_provenance, fold_fields, fold_relations, lineage
 from lorefold.operators.salience import history
 
 
@@ -14,8 +14,8 @@ def salient_entities(events: DataFrame, now: Column) -> DataFrame:
 
     Activity is that of the entity's own events; entities merged away are left out.
     """
-    merges = valid_merges(events)
-    held = fold_fields(events, merges)
+    line = lineage(events)
+    held = fold_fields(events, line)
     value = F.substring("value", 3, 1 << 20)
     when = F.try_to_timestamp(F.substring_index(value, "|", 1))
     last = lambda fields, what: F.max_by(F.when(F.col("field").isin(*fields), what), F.when(F.col("field").isin(*fields), F.col("position")))
@@ -24,7 +24,7 @@ def salient_entities(events: DataFrame, now: Column) -> DataFrame:
         F.coalesce(F.bool_or(F.col("field") == "outcome"), F.lit(False)).alias("has_outcome"),
     )
     return (
-        created(events, merges).select(F.col("aggregate_id").alias("entity_id"), "entity_type").join(fields, "entity_id", "left").join(history(events, now), "entity_id", "left")
+        created(events, line).select(F.col("aggregate_id").alias("entity_id"), "entity_type").join(fields, "entity_id", "left").join(history(events, now), "entity_id", "left")
         .withColumn("last_mentioned", F.col("last_at"))
     )
 
@@ -39,13 +39,13 @@ def entity_views(events: DataFrame) -> DataFrame:
     Fields are field=value, relations name:from>to of either end, provenance
     field=event. Entities that exist with nothing of a kind have an empty text.
     """
-    merges = valid_merges(events)
-    fields = _listed(fold_fields(events, merges), "fields", F.concat_ws("=", "field", "value"))
-    provenance = _listed(field_provenance(events, merges), "provenance", F.concat_ws("=", "field", "event_id"))
-    edges = fold_relations(events, merges)
+    line = lineage(events)
+    fields = _listed(fold_fields(events, line), "fields", F.concat_ws("=", "field", "value"))
+    provenance = _listed(field_provenance(events, line), "provenance", F.concat_ws("=", "field", "event_id"))
+    edges = fold_relations(events, line)
     ends = edges.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("entity_id"), "relation", "from_id", "to_id")
     related = _listed(ends, "relations", F.concat(F.col("relation"), F.lit(":"), F.col("from_id"), F.lit(">"), F.col("to_id")))
-    views = created(events, merges).select(F.col("aggregate_id").alias("entity_id"), "entity_type")
+    views = created(events, line).select(F.col("aggregate_id").alias("entity_id"), "entity_type")
     for part in (fields, related, provenance):
         views = views.join(part, "entity_id", "left")
     return views.withColumns({c: F.coalesce(c, F.lit("")) for c in ("fields", "relations", "provenance")})
@@ -63,16 +63,16 @@ def serialised(events: DataFrame) -> DataFrame:
 
 def fingerprint(events: DataFrame) -> DataFrame:
     """(entities, fields, field_letters, relations): sizes by which two projections are told apart at a glance."""
-    merges = valid_merges(events)
-    held = fold_fields(events, merges).agg(F.count(F.lit(1)).alias("fields"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("field_letters"))
-    return created(events, merges).agg(F.count(F.lit(1)).alias("entities")).crossJoin(held).crossJoin(fold_relations(events, merges).agg(F.count(F.lit(1)).alias("relations")))  # one row each
+    line = lineage(events)
+    held = fold_fields(events, line).agg(F.count(F.lit(1)).alias("fields"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("field_letters"))
+    return created(events, line).agg(F.count(F.lit(1)).alias("entities")).crossJoin(held).crossJoin(fold_relations(events, line).agg(F.count(F.lit(1)).alias("relations")))  # one row each
 
 
 def without_provenance(events: DataFrame) -> DataFrame:
     """(entity_id, field): fields that are held and that no event explains; there should be none."""
-    merges = valid_merges(events)
-    explained = field_provenance(events, merges).filter("event_id IS NOT NULL").select("entity_id", "field")
-    return fold_fields(events, merges).select("entity_id", "field").distinct().join(explained, ["entity_id", "field"], "left_anti")
+    line = lineage(events)
+    explained = field_provenance(events, line).filter("event_id IS NOT NULL").select("entity_id", "field")
+    return fold_fields(events, line).select("entity_id", "field").distinct().join(explained, ["entity_id", "field"], "left_anti")
 
 
 def entity_texts(events: DataFrame) -> DataFrame:

@@ -257,9 +257,9 @@ def fold_set_members(spark, sf_dir):
 @query(_FOLD + "SELECT DISTINCT l.aggregate_id AS entity_id, field FROM live l JOIN born b ON l.aggregate_id = b.aggregate_id AND l.life = b.life EXCEPT SELECT entity_id, field FROM held")
 def fold_field_clear(spark, sf_dir):
     events = _events(spark, sf_dir)
-    merges = fold.valid_merges(events)
-    rows = fold.survivors(fold.effective_rows(events, merges), merges).select(F.col("aggregate_id").alias("entity_id"), "field").distinct()
-    return rows.join(fold.fold_fields(events, merges).select("entity_id", "field").distinct(), ["entity_id", "field"], "left_anti")
+    line = fold.lineage(events)
+    rows = fold.survivors(fold.effective_rows(events, line), line.merges).select(F.col("aggregate_id").alias("entity_id"), "field").distinct()
+    return rows.join(fold.fold_fields(events, line).select("entity_id", "field").distinct(), ["entity_id", "field"], "left_anti")
 
 
 @query(_FOLD + "SELECT entity_id, field, arg_max(ptr, position) FILTER (ptr IS NOT NULL) AS event_id FROM held GROUP BY 1, 2")
@@ -331,18 +331,18 @@ def relation_table(spark, sf_dir):
 @query(_FOLD + "SELECT r.* FROM rel r WHERE from_id IN (SELECT final_id FROM fate) OR to_id IN (SELECT final_id FROM fate)")
 def merge_repoint_relations(spark, sf_dir):
     events = _events(spark, sf_dir)
-    merges = fold.valid_merges(events)
-    ends = fold.fates(merges).select(F.explode("fates.final_id").alias("id")).distinct()
-    relations = fold.fold_relations(events, merges)
+    line = fold.lineage(events)
+    ends = fold.fates(line.merges).select(F.explode("fates.final_id").alias("id")).distinct()
+    relations = fold.fold_relations(events, line)
     return relations.join(ends, (F.col("from_id") == F.col("id")) | (F.col("to_id") == F.col("id")), "left_semi")
 
 
 @query(_FOLD + "SELECT h.entity_id, h.field, h.value, h.event_id FROM held h WHERE h.entity_id IN (SELECT survivor FROM vm)")
 def merge_component_fold(spark, sf_dir):
     events = _events(spark, sf_dir)
-    merges = fold.valid_merges(events)
-    survivors = merges.select(F.col("survivor").alias("entity_id")).distinct()
-    return fold.fold_fields(events, merges).join(survivors, "entity_id", "left_semi").select("entity_id", "field", "value", "event_id")
+    line = fold.lineage(events)
+    survivors = line.merges.select(F.col("survivor").alias("entity_id")).distinct()
+    return fold.fold_fields(events, line).join(survivors, "entity_id", "left_semi").select("entity_id", "field", "value", "event_id")
 
 
 @query("""
@@ -396,10 +396,10 @@ LEFT JOIN sch s ON c.entity_type = s.entity_type AND c.field = s.field LEFT JOIN
 
 def _changes(spark, sf_dir):
     events = _events(spark, sf_dir)
-    merges = fold.valid_merges(events)
-    types = fold.created(events, merges).select("aggregate_id", "entity_type")
-    claims = fold.survivors(fold.effective_rows(events, merges).filter("type IN ('FieldSet', 'SetMemberAdded')"), merges).join(types, "aggregate_id").select(F.col("aggregate_id").alias("entity_id"), "entity_type", "field", "value")
-    held = fold.fold_fields(events, merges)
+    line = fold.lineage(events)
+    types = fold.created(events, line).select("aggregate_id", "entity_type")
+    claims = fold.survivors(fold.effective_rows(events, line).filter("type IN ('FieldSet', 'SetMemberAdded')"), line.merges).join(types, "aggregate_id").select(F.col("aggregate_id").alias("entity_id"), "entity_type", "field", "value")
+    held = fold.fold_fields(events, line)
     return triage.diff_entities(claims, held, triage.field_schema(spark)), held
 
 
@@ -431,8 +431,8 @@ said AS (SELECT l.aggregate_id AS entity_id, b.entity_type, l.field, l.value, po
 SELECT entity_id, entity_type, field, value, position, CASE WHEN list_contains(known, x) THEN x ELSE 'other' END AS parsed, CASE WHEN NOT list_contains(known, x) THEN field || ': ' || substr(value, 3) END AS note FROM said""")
 def enum_fallback(spark, sf_dir):
     events = _events(spark, sf_dir)
-    merges = fold.valid_merges(events)
-    rows = fold.effective_rows(events, merges).filter("type = 'FieldSet'").join(fold.births(events, merges).select("aggregate_id", "life", "entity_type"), ["aggregate_id", "life"])
+    line = fold.lineage(events)
+    rows = fold.effective_rows(events, line).filter("type = 'FieldSet'").join(line.births.select("aggregate_id", "life", "entity_type"), ["aggregate_id", "life"])
     said = rows.select(F.col("aggregate_id").alias("entity_id"), "entity_type", "field", F.col("value").alias("typed"), F.substring("value", 3, 1 << 20).alias("value"), "position")
     parsed = triage.enum_fallback(said).filter("parsed IS NOT NULL")
     return parsed.withColumn("value", F.col("typed")).drop("typed")
@@ -581,9 +581,9 @@ def _scored(spark, sf_dir):
     places = table(spark, sf_dir, "adjudication_requests").filter("mention_text IS NOT NULL").select(F.concat_ws("|", "entity_type", "mention_text").alias("mention_id"), "capture_id")
     resolved = exact.groupBy("mention_id").agg(F.min("entity_id").alias("entity_id"))
     events = _events(spark, sf_dir)
-    merges = fold.valid_merges(events)
-    together = resolution.co_occurrence(found, places, resolved, fold.fold_relations(events, merges))
-    contact = fold.fold_fields(events, merges).filter("field = 'last_contact_at' AND value LIKE 'd:%'").groupBy("entity_id").agg(F.max(F.try_to_timestamp(F.substring_index(F.substring("value", 3, 1 << 20), "|", 1))).alias("last_contact"))
+    line = fold.lineage(events)
+    together = resolution.co_occurrence(found, places, resolved, fold.fold_relations(events, line))
+    contact = fold.fold_fields(events, line).filter("field = 'last_contact_at' AND value LIKE 'd:%'").groupBy("entity_id").agg(F.max(F.try_to_timestamp(F.substring_index(F.substring("value", 3, 1 << 20), "|", 1))).alias("last_contact"))
     days = contact.select("entity_id", (F.datediff(now(), F.col("last_contact"))).cast("double").alias("days_since_contact"))
     featured = found.join(together, ["mention_id", "entity_id"], "left").join(days, "entity_id", "left")
     return cut(resolution.score_candidates(featured, asked, names).withColumn("score", F.round("score", 9))), asked

@@ -131,11 +131,11 @@ CASE WHEN changes THEN CASE WHEN cardinality = 'set' THEN 'add_to_set' ELSE 'set
 FROM ok WHERE changes OR NOT EXISTS (SELECT 1 FROM ok o WHERE o.proposal_id = ok.proposal_id AND o.entity_id = ok.entity_id AND o.changes)""")
 def reproposed(spark, sf_dir):
     events = _events(spark, sf_dir)
-    merges = fold.valid_merges(events)
+    line = fold.lineage(events)
     proposed = table(spark, sf_dir, "event_log").filter("type = 'FieldSet' AND proposal_id IS NOT NULL").select("event_id", "proposal_id").distinct()
     said = events.filter("type = 'FieldSet' AND field IS NOT NULL").join(proposed, "event_id").select("proposal_id", F.col("aggregate_id").alias("entity_id"), "field", "value").distinct()
-    types = fold.created(events, merges).select(F.col("aggregate_id").alias("entity_id"), "entity_type")
-    return writing.repropose(said.select("proposal_id", "entity_id").distinct(), said.join(types, "entity_id"), fold.fold_fields(events, merges), fold.entity_versions(events, merges))
+    types = fold.created(events, line).select(F.col("aggregate_id").alias("entity_id"), "entity_type")
+    return writing.repropose(said.select("proposal_id", "entity_id").distinct(), said.join(types, "entity_id"), fold.fold_fields(events, line), fold.entity_versions(events, line))
 
 
 # ---- extraction and evaluation ----------------------------------------------------------------------------------
