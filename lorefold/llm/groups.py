@@ -9,6 +9,29 @@ from lorefold.session import cut
 
 #: Contraction goes on while a round removes at least this share of the edges; the rest is the core.
 WORTHWHILE = 0.2
+#: Rows of one key from which it is looked up by broadcast; there are at most MOST_HOT such keys.
+HOT_ROWS = 100_000
+MOST_HOT = 10_000
+
+
+def look_up(rows: DataFrame, key: str, held: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the other columns of ``held``, which has one row for a key; null where it has none.
+
+    Keys that very many rows share, such as the centre of a star or the root of
+    a giant group, aren't gathered in one task: their few rows of ``held`` are
+    broadcast, all others meet in a shuffle.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts.filter(F.col("n") >= hot_rows))
+    total = counts.count()
+    if not total:
+        return rows.join(held, key, "left")
+    if total > MOST_HOT:  # more rows than hot_rows for each: the most frequent alone are hot
+        counts = cut(counts.orderBy(F.desc("n")).limit(MOST_HOT))
+    hot = counts.select(key, F.lit(True).alias("is_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")  # MOST_HOT rows at most
+    few = F.broadcast(held.join(F.broadcast(hot.drop("is_hot")), key, "left_semi"))
+    return marked.filter("is_hot").drop("is_hot").join(few, key, "left").unionByName(marked.filter("is_hot IS NULL").drop("is_hot").join(held, key, "left"))
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -36,7 +59,7 @@ def _compress_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     List ranking: an arc (v, w) leaves the chain vertex v towards w; its pointer
     is doubled until it meets a vertex of another degree. Joins are on vertex
-    pairs, so a hub with many chains is no hot key. Rings without such a vertex
+    pairs, so a hub with many chains is no hot key here. Rings without such a vertex
     never end; they are left to the core.
     """
     twos = _ends(edges).filter("degree = 2")
@@ -80,7 +103,7 @@ def roots_of(parents: DataFrame) -> DataFrame:
     parents = cut(parents)
     while True:
         up = parents.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
-        jumped = cut(parents.join(up, "parent", "left").select("v", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
+        jumped = cut(look_up(parents, "parent", up).select("v", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
         parents = jumped.select("v", "parent")
         if jumped.filter("moved").isEmpty():
             return parents
@@ -89,9 +112,9 @@ def roots_of(parents: DataFrame) -> DataFrame:
 def _contract_core(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hangs every vertex below its smallest smaller neighbour and contracts the trees."""
     roots = roots_of(_ends(edges).filter("low < v").select("v", F.col("low").alias("parent")))
+    by_a = look_up(edges, "a", roots.select(F.col("v").alias("a"), F.col("parent").alias("ra")))
     left = (
-        edges.join(roots.select(F.col("v").alias("a"), F.col("parent").alias("ra")), "a", "left")
-        .join(roots.select(F.col("v").alias("b"), F.col("parent").alias("rb")), "b", "left")
+        look_up(by_a, "b", roots.select(F.col("v").alias("b"), F.col("parent").alias("rb")))
         .select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
         .filter("x <> y")
         .select(*_pair("x", "y"))
@@ -138,4 +161,4 @@ def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
         forest = forest.unionAll(parents)
     labelled = cut(records.join(roots_of(forest), "v", "left").select("v", F.coalesce("parent", "v").alias("root")))
     smallest = labelled.groupBy("root").agg(F.min("v").alias("group_id"))
-    return labelled.join(smallest, "root").select(F.col("v").alias("record_id"), "group_id")
+    return look_up(labelled, "root", smallest).select(F.col("v").alias("record_id"), "group_id")

@@ -16,9 +16,13 @@ FIT_ROWS = 16_384
 #: Vectors that a cell is meant to hold; cells estimated above BLOCK_ROWS are split into blocks.
 CELL_ROWS = 600
 BLOCK_ROWS = 8_192
+#: Centroids, and residual centroids that every one of them shares: cells are the pairs of both, so their number
+#: grows with the rows to MOST_CELLS * MOST_FINE while the model stays bounded.
 MOST_CELLS = 2_048
-#: Cells that every vector is placed in.
+MOST_FINE = 2_048
+#: Cells that every vector is placed in, one more where cells are pairs; and centroids whose pairs are looked at then.
 SPILL = 2
+PROBES = 4
 #: Components in a 4-bit code, and candidates that are reranked exactly.
 WIDTH = 8
 RERANK = 64
@@ -29,12 +33,33 @@ _QUERIES_AT_ONCE = 64
 
 @dataclass
 class Index:
-    """centroids (c, d); books (d / WIDTH, 16, WIDTH); blocks[(group, cell)] where more than one."""
+    """centroids (c, d); fine (f, d), one of zeros where cells are no pairs; books (d / WIDTH, 16, WIDTH); blocks[(group, cell)] where more than one."""
 
     centroids: np.ndarray
+    fine: np.ndarray
     books: np.ndarray
     blocks: dict[tuple[str, int], int]
 
+    def centre(self, cell: int) -> np.ndarray:
+        return self.centroids[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The cells that each vector is placed in, the nearest not always first."""
+        coarse = _nearest(x, self.centroids, SPILL if len(self.fine) == 1 else PROBES)
+        if len(self.fine) == 1:
+            return coarse
+        out = np.empty((len(x), min(SPILL + 1, coarse.shape[1] * len(self.fine))), np.int64)
+        half = 0.5 * (self.fine**2).sum(1)
+        for at in range(0, len(x), 256):  # bounds the scores that are held at once
+            near = coarse[at : at + 256]
+            rest = x[at : at + 256, None] - self.centroids[near]
+            score = rest @ self.fine.T - half - 0.5 * (rest**2).sum(2, keepdims=True)
+            cells = near[:, :, None] * len(self.fine) + np.arange(len(self.fine))
+            flat = score.reshape(len(near), -1)
+            best = np.argpartition(-flat, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
+            out[at : at + 256] = np.take_along_axis(cells.reshape(len(near), -1), best, axis=1)
+        return out
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     y = x.astype(np.float64)
@@ -98,23 +123,33 @@ def fit_index(groups: list[str], x: np.ndarray, rows: int, seed: int = 7) -> Ind
     if x.shape[1] % WIDTH:
         x = np.pad(x, ((0, 0), (0, -x.shape[1] % WIDTH)))
     rng = np.random.default_rng(seed)
-    cells = int(np.clip(rows // CELL_ROWS, 1, min(MOST_CELLS, max(1, len(x) // 8))))
+    wanted = max(1, rows // CELL_ROWS)
+    cells = int(np.clip(wanted, 1, min(MOST_CELLS, max(1, len(x) // 8))))
     centroids = _kmeans(x, cells, 6, rng)
-    near = _nearest_cells(x, centroids)
+    near = _nearest(x, centroids, 1)[:, 0]
+    pairs = int(np.clip(wanted // cells, 1, min(MOST_FINE, max(1, len(x) // 8))))
+    fine = _kmeans(x - centroids[near], pairs, 6, rng) if pairs > 1 else np.zeros((1, x.shape[1]), x.dtype)
+    index = Index(centroids, fine, np.zeros((0, 16, WIDTH)), {})
+    placed = index.nearest(x)
     eta = (x.shape[1] - 1) * ANISOTROPIC_T**2 / (1 - ANISOTROPIC_T**2)
     some = np.resize(np.arange(len(x)), max(64, min(len(x), 4096)))
-    books = _fit_books(x[some], x[some] - centroids[near[some, 0]], eta, rng)
+    index.books = _fit_books(x[some], x[some] - centroids[placed[some, 0] // pairs] - fine[placed[some, 0] % pairs], eta, rng)
+    # rows of a cell: those of its centroid in the group, and the share of its residual centroid
     scale = rows / len(x)
     held: dict[tuple[str, int], int] = {}
-    for group, own in zip(groups, near, strict=True):
+    share = np.bincount((placed % pairs).ravel(), minlength=pairs) / placed.size
+    for group, own in zip(groups, placed, strict=True):
         for cell in own:
-            held[group, int(cell)] = held.get((group, int(cell)), 0) + 1
-    blocks = {k: int(np.ceil(n * scale / BLOCK_ROWS)) for k, n in held.items() if n * scale > BLOCK_ROWS}
-    return Index(centroids, books, blocks)
+            held[group, int(cell) // pairs] = held.get((group, int(cell) // pairs), 0) + 1
+    for (group, coarse), n in held.items():
+        for f in range(pairs):
+            if n * scale * share[f] > BLOCK_ROWS:
+                index.blocks[group, coarse * pairs + f] = int(np.ceil(n * scale * share[f] / BLOCK_ROWS))
+    return index
 
 
-def _nearest_cells(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    take = min(SPILL, len(centroids))
+def _nearest(x: np.ndarray, centroids: np.ndarray, many: int) -> np.ndarray:
+    take = min(many, len(centroids))
     score = x @ centroids.T - 0.5 * (centroids**2).sum(1)
     return np.argpartition(-score, take - 1, axis=1)[:, :take]
 
@@ -161,8 +196,9 @@ def similar_pairs(vectors: DataFrame, id_column: str, group_column: str, vector_
     FIT_ROWS rows; every row is indexed, in the SPILL cells nearest to it, and
     every row is a query in these cells. A cell is scanned by 4-bit tables and
     the RERANK best are ranked again by their exact similarity. Cells that are
-    large even so are split into blocks, each scanned by all queries of the
-    cell. Equal similarities rank by id.
+    large even so are split into blocks of points and of queries, each pair of
+    which is scanned apart. Equal vectors of a group are searched once, for all
+    of them. Equal similarities rank by id.
 
     Vectors of another length, with nulls, NaN or infinite members, or all
     zero, and rows without id or group, aren't usable and don't take part. Of
@@ -186,10 +222,20 @@ def similar_pairs(vectors: DataFrame, id_column: str, group_column: str, vector_
     schema = "query_id string, other_id string, similarity double"
     if not rows:
         return spark.createDataFrame([], schema)
-    part = usable if rows <= FIT_ROWS else usable.filter(F.pmod(F.xxhash64("id"), F.lit(10_000)) < int(10_000 * FIT_ROWS / rows) + 1)
-    sample = part.select("grp", "v").limit(FIT_ROWS).toArrow()
+    # equal vectors are one; two hashes stand for a vector
+    usable = usable.withColumn("h2", F.hash("v"))
+    same = usable.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    copied = same.filter("rep <> last")
+    if copied.isEmpty():
+        searched, members = usable, None
+    else:
+        members = usable.select("id", "h", "h2").distinct().join(same.select("h", "h2", "rep"), ["h", "h2"]).select("id", "rep")
+        searched = usable.join(same.select("rep"), F.col("id") == F.col("rep"), "left_semi")
+    # rows in the order of a hash, so that the bound below takes no part of the table before another
+    part = usable if rows <= FIT_ROWS else usable.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * FIT_ROWS / rows) + 1)
+    sample = part.select("grp", "v", F.xxhash64("id", F.lit(1)).alias("o")).orderBy("o").limit(FIT_ROWS).drop("o").toArrow()
     x = _unit(sample.column("v").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, dims))
-    index = spark.sparkContext.broadcast(fit_index(sample.column("grp").to_pylist(), x, rows))  # at most MOST_CELLS centroids
+    index = spark.sparkContext.broadcast(fit_index(sample.column("grp").to_pylist(), x, rows))  # at most MOST_CELLS centroids and MOST_FINE residual ones
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
@@ -200,18 +246,20 @@ def similar_pairs(vectors: DataFrame, id_column: str, group_column: str, vector_
                     continue
                 x = _unit(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
                 wide = np.pad(x, ((0, 0), (0, -dims % WIDTH)))
-                cells = _nearest_cells(wide, ix.centroids)
+                cells = ix.nearest(wide)
                 raw = [r.tobytes() for r in x]
-                out: dict[str, list] = {n: [] for n in ("grp", "cell", "block", "as_query", "id", "x")}
+                out: dict[str, list] = {n: [] for n in ("grp", "cell", "block", "asked", "point", "query", "id", "x")}
                 for name, group, own, vec in zip(b.column("id").to_pylist(), b.column("grp").to_pylist(), cells, raw, strict=True):
                     for cell in map(int, own):
                         n = ix.blocks.get((group, cell), 1)
                         home = hash_of(name) % n
-                        for block in range(n):
-                            for key, value in zip(out, (group, cell, block, block != home, name, vec), strict=True):
+                        # a point in its own block for every block of queries, a query in its own for every block of points
+                        places = [(home, q, True, q == home) for q in range(n)] + [(b, home, False, True) for b in range(n) if b != home]
+                        for place_ in places:
+                            for key, value in zip(out, (group, cell, *place_, name, vec), strict=True):
                                 out[key].append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["grp"]), pa.array(out["cell"], pa.int32()), pa.array(out["block"], pa.int32()), pa.array(out["as_query"]), pa.array(out["id"]), pa.array(out["x"], pa.binary())],
+                    [pa.array(out["grp"]), pa.array(out["cell"], pa.int32()), pa.array(out["block"], pa.int32()), pa.array(out["asked"], pa.int32()), pa.array(out["point"]), pa.array(out["query"]), pa.array(out["id"]), pa.array(out["x"], pa.binary())],
                     names=list(out),
                 )
 
@@ -220,17 +268,31 @@ def similar_pairs(vectors: DataFrame, id_column: str, group_column: str, vector_
         pdf = pdf.drop_duplicates("id")
         names = pdf["id"].to_numpy()
         x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(-1, dims)
-        here = ~pdf["as_query"].to_numpy()
-        found = search_cell(x[here], x, ix.centroids[key[1]], ix.books, k, least, names[here], names)
+        here, asks = pdf["point"].to_numpy(), pdf["query"].to_numpy()
+        found = search_cell(x[here], x[asks], ix.centre(key[1]), ix.books, k, least, names[here], names[asks])
         return pd.DataFrame(list(found), columns=["query_id", "other_id", "similarity"])
 
-    placed = usable.select("id", "grp", "v").mapInArrow(place, "grp string, cell int, block int, as_query boolean, id string, x binary")
-    found = placed.groupBy("grp", "cell", "block").applyInPandas(scan, schema)
+    placed = searched.select("id", "grp", "v").mapInArrow(place, "grp string, cell int, block int, asked int, point boolean, query boolean, id string, x binary")
+    found = placed.groupBy("grp", "cell", "block", "asked").applyInPandas(scan, schema).groupBy("query_id", "other_id").agg(F.max("similarity").alias("similarity"))
+    if members is not None:
+        found = _with_copies(found, members, k, least)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "other_id")
-    return (
-        found.groupBy("query_id", "other_id").agg(F.max("similarity").alias("similarity"))
-        .withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k).drop("nth")
-    )
+    return found.withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k).drop("nth")
+
+
+def _with_copies(found: DataFrame, members: DataFrame, k: int, least: float) -> DataFrame:
+    """Neighbours of representatives given to all of their copies, as (query_id, other_id, similarity); the best k of each are among them.
+
+    members: (id, rep) of every id. Of copies of one vector the k + 1 smallest
+    ids can be among anyone's k best, itself left out.
+    """
+    by_id = Window.partitionBy("rep").orderBy("id")
+    first = members.withColumn("nth", F.row_number().over(by_id)).filter(F.col("nth") <= k + 1).drop("nth")
+    own = first.filter(F.lit(least) <= 1.0).select(F.col("rep").alias("query_id"), F.col("id").alias("other_id"), F.lit(1.0).alias("similarity"))
+    others = found.join(first.select(F.col("rep").alias("other_id"), "id"), "other_id").select("query_id", F.col("id").alias("other_id"), "similarity")
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "other_id")
+    few = own.unionByName(others).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).drop("nth")
+    return few.withColumnRenamed("query_id", "rep").join(members, "rep").filter("id <> other_id").select(F.col("id").alias("query_id"), "other_id", "similarity")
 
 
 def hash_of(name: str) -> int:

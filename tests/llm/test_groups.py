@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lorefold.llm.groups import connected_groups
+from lorefold.llm.groups import connected_groups, look_up
 
 PAIRS = "from_id string, to_id string, group_id string"
 
@@ -48,3 +48,11 @@ def test_random(spark, seed):
 
 def test_empty(spark):
     assert got(spark, []) == set()
+
+
+def test_hot_keys_are_looked_up_apart(spark):
+    rows = spark.createDataFrame([(i, "hub" if i % 3 else f"k{i}") for i in range(60)] + [(99, "none")], "i int, k string")
+    held = spark.createDataFrame([("hub", 1), *((f"k{i}", 100 + i) for i in range(0, 60, 3))], "k string, v int")
+    plain = {(r.i, r.k, r.v) for r in rows.join(held, "k", "left").collect()}
+    for hot_rows in (1, 5, 1000):
+        assert {(r.i, r.k, r.v) for r in look_up(rows, "k", held, hot_rows).collect()} == plain

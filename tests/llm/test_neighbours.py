@@ -41,6 +41,31 @@ def test_hot_cell_in_blocks(spark, monkeypatch):
     assert len(found & want) >= 0.95 * len(want)
 
 
+def test_cells_grow_with_rows(spark, monkeypatch):
+    """With a bounded model the cells are pairs of centroids, and little is lost."""
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 5)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 60)
+    x = clustered(3000, 24, 5)
+    index = fit_index(["t"] * len(x), x / np.linalg.norm(x, axis=1, keepdims=True), len(x))
+    assert len(index.centroids) == 5 and len(index.fine) == 10
+    placed = index.nearest(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert np.bincount(placed.ravel(), minlength=50).max() < 3000 * placed.shape[1] / 8
+    df = spark.createDataFrame([(f"{i:05}", "t", x[i].tolist(), "") for i in range(len(x))], SCHEMA)
+    found = {(int(r.entity_a), int(r.entity_b)) for r in close_pairs(df, "entity_id", "entity_type", "embedding", 24, 10, 0.8).collect()}
+    want = truth(x, np.array(["t"] * len(x)), 10, 0.8)
+    assert len(found & want) >= 0.9 * len(want)
+
+
+def test_many_copies(spark):
+    """Copies of one vector, more than are reranked, get their k smallest ids and each other's neighbours."""
+    rows = [(f"c{i:03}", "t", [1.0, 1.0, 0.0], "") for i in range(150)] + [("n1", "t", [1.0, 0.9, 0.0], ""), ("n2", "t", [0.0, 0.0, 1.0], ""), ("c000", "t", [1.0, 1.0, 0.0], "")]
+    got = {}
+    for r in similar_pairs(spark.createDataFrame(rows, SCHEMA), "entity_id", "entity_type", "embedding", 3, k=4, least=0.5).collect():
+        got.setdefault(r.query_id, set()).add(r.other_id)
+    assert got["c149"] == {"c000", "c001", "c002", "c003"} and got["c001"] == {"c000", "c002", "c003", "c004"}
+    assert got["n1"] == {"c000", "c001", "c002", "c003"} and "n2" not in got and len(got) == 151
+
+
 def test_unusable_rows(spark):
     nan = float("nan")
     rows = [

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorefold.llm.names import Lexicon, keys_of, keys_to, link_names, parse, skeleton
-from lorefold.llm.pii import find_personal, occurrences, redact, surface_spans
+from lorefold.llm.pii import find_personal, occurrences, redact
+from lorefold.llm.surface import KINDS, surface_spans
 from lorefold.llm.spam import spam_documents, spam_scores
 
 
@@ -22,14 +23,16 @@ def test_spam(spark):
         3: "\n".join(f"* https://shop{i}.example/p?id={i}" for i in range(12)), 4: " ".join(f"#lamp{w}" for w in "best cheap free deal online buy price top review near for now new".split()),
         5: PROSE + "\n" + "backpack deal\nbackpack free\nplanner cheap\nplanner deal\nbackpack cheap\n" * 8,
         6: "\n".join(f"[rain jacket {w}](http://x.example/{w})" for w in "best cheap free deal online buy".split()),
+        8: "\n".join(f"kiosk{i}.{t}" for i in range(10) for t in ("de", "io", "shop")), 9: " / ".join(f"{a} {b}" for a in ("leather", "canvas", "woollen") for b in ("shoes", "bags", "belts", "hats", "gloves")),
     }
     fine = {
         20: prose(6), 21: "yoga mat", 22: "survey\n- archive\n- contract\n- report\n- van\n- packing list\n- price table\n- guest list\n- menu", 23: "Anna, Bert, Carla, David, Emil, Frida, Gustav, Hanna, Ivan, Jonas, Karla, Lena",
         24: "\n".join(f"{s}. https://notes.example/{i}" for i, s in enumerate(prose(6).split(". "))), 25: "", 26: None, 27: prose(800),
+        28: (refrain := "\n".join(["The river carries all my sorrow home", "and I will follow it until the morning comes", "with nothing but the light upon my hands"])) + "".join("\n" + prose(40 + i).split(". ")[-2] + ".\n" + refrain for i in range(3)),
     }
     rows = [(i, t, "x") for i, t in [*cases.items(), *fine.items()]] + [(7, cases[1], "copy"), (None, cases[1], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, language string")
-    assert sorted(r.doc_id for r in spam_documents(docs).collect()) == [1, 2, 3, 4, 5, 6, 7]
+    assert sorted(r.doc_id for r in spam_documents(docs).collect()) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
     assert spam_scores(docs.limit(0)).count() == 0
 
 
@@ -39,17 +42,48 @@ def test_spam(spark):
     ("Ann's desk: (415) 555-0125 Action", "phone", "(415) 555-0125"), ("030/23125-851 is the desk line", "phone", "030/23125-851"), ("Ann gave SSN 929-01-6949, keep it", "id_number", "929-01-6949"), ("gave nino qq 51 39 37 a keep", "id_number", "qq 51 39 37 a"),
     ("gave ssn nine five eight oh seven six double one eight keep", "id_number", "nine five eight oh seven six double one eight"), ("DNI 00096035-M, keep", "id_number", "00096035-M"), ("lives at Flat 12, 163 Tanner Court now", "address", "Flat 12, 163 Tanner Court"),
     ("vive en C/ Tres Molinos 28, 8º D", "address", "C/ Tres Molinos 28, 8º D"), ("wohnt Am Mühlgraben 224, 02626 Ilmbruck", "address", "Am Mühlgraben 224, 02626 Ilmbruck"), ("habite 176 bis, rue des Merles", "address", "176 bis, rue des Merles"), ("in Birkenallee 69 now", "address", "Birkenallee 69"),
+    ("NINO: AB 12 34 56 C", "id_number", "AB 12 34 56 C"), ("national insurance number AB123456C", "id_number", "AB123456C"), ("Reisepass C01X00T47", "id_number", "C01X00T47"), ("it is 123-45-6789 I think", "id_number", "123-45-6789"),
+    ("tel 030 1234567", "phone", "030 1234567"), ("call one-two-three-four-five-six-seven-eight now", "phone", "one-two-three-four-five-six-seven-eight"), ("al 07700 900463", "phone", "07700 900463"),
 ])
 def test_surface(text, kind, found):
     spans = surface_spans(text)
-    assert [(text[a:b], k) for a, b, k in spans] == [(found, kind)]
+    assert [(text[a:b], KINDS[k]) for a, b, k in spans if KINDS[k] != "other"] == [(found, kind)]
 
 
-@pytest.mark.parametrize("text", ["Pinned planner@5.2.8 in the build", "Ping @design about order no. 2779 6199", "Read case 931885/22, page 283", "Meeting moved to 19:30 on 23.12.2026", "isbn 978-0-00-144646-2", "see 203.0.113.15", "Street fair in town, block 12 Market hall", "the €8 049,00 quote", "Treffen am 9/20 um 16:45"])
+@pytest.mark.parametrize("text", ["Pinned planner@5.2.8 in the build", "Ping @design about order no. 2779 6199", "Read case 931885/22, page 283", "Meeting moved to 19:30 on 23.12.2026", "isbn 978-0-00-144646-2", "see 203.0.113.15", "Street fair in town, block 12 Market hall", "the €8 049,00 quote", "Treffen am 9/20 um 16:45", "about yoga at 5 past nine", "12345678A is no checked number"])
 def test_no_personal_information(text):
     assert surface_spans(text) == []
 
 
+def test_account_numbers_hold_no_phone():
+    text = "Pay to DE89 3704 0044 0532 0130 00 by Monday"
+    assert [KINDS[k] for _, _, k in surface_spans(text)] == ["other"]
+
+
+def test_shapes_and_streets_learned_from_contexts(spark):
+    """Numbers of a shape, and streets of a kind, that no grammar takes are found by the contexts they share with seeds."""
+    notes = [f"Form asks for tax id {9000 + i} {1000 + 7 * i} {2000 + 3 * i} for the file" for i in range(6)] + [f"The registry sent 9{i:03} 5678 9012 for the file" for i in range(3)]
+    notes += [f"Form asks for tax code 9{i:03} 5678 9012 for the file" for i in range(2)]
+    notes += [f"Ann lives at {10 + i} Larch Street with Bert" for i in range(6)] + [f"Carl lives at {30 + i} Larch Gardens with Dora" for i in range(6)]
+    notes += [f"We will mark order 1{i:03} 5678 9012 as done" for i in range(9)] + ["Read 12 Larch Books on the way"]
+    rows = [(f"c{i:02}", t, None) for i, t in enumerate(notes)]
+    empty = spark.createDataFrame([], "text string")
+    found = find_personal(spark.createDataFrame(rows, "capture_id string, raw_text string, corrected_text string"), empty, empty)
+    got = {(r.capture_id, r.pii_kind) for r in occurrences(found).collect() if r.pii_kind != "person_name"}
+    want = {(f"c{i:02}", "id_number") for i in range(11)} | {(f"c{i:02}", "address") for i in range(11, 23)}
+    assert want - {(f"c{i:02}", "id_number") for i in range(6, 9)} <= got <= want
+
+
+def test_short_surnames(spark):
+    """Short seeds and short learned names are taken after a given name, and elsewhere where their context says so."""
+    people = [(f"{g} {s}",) for g in ("Bernard", "Anna", "Clara", "Quentin") for s in ("Koch", "Feningoreira", "Skelpelaraux", "Ostcaminoglu")]
+    notes = [f"Call {n} back on Monday" for (n,) in people] + ["Then Anna Koch agreed", "Koch, Anna agreed"]
+    found = find_personal(spark.createDataFrame([(f"c{i:02}", t, None) for i, t in enumerate(notes)], "capture_id string, raw_text string, corrected_text string"), spark.createDataFrame(people, "text string"), spark.createDataFrame([], "text string"))
+    got = {(r.capture_id, r.start_pos) for r in occurrences(found).collect()}
+    n = len(people)
+    assert {(f"c{i:02}", 5) for i in range(n + 1)} <= got
+
+
 def test_names_in_notes(spark):
     people = [(f"{g} {s}",) for g in ("Hope", "Anna", "Mark", "Quentin") for s in ("Feningoreira", "Skelpelaraux", "Bramfliet", "Ostcaminoglu")]
     notes = [f"Call {n} back on 555-0142." for (n,) in people] + ["Hope the Levcepexus project pays off.", "lunch with anna skelpelaruax mostly", "Told Dr Skelpelaraux, Anna that it is late", "", None]
@@ -129,3 +163,18 @@ def test_edits_at_both_ends(spark):
         spark.createDataFrame(asked, "request_id string, entity_type string, mention_text string, candidates array<struct<name:string,summary:string>>"),
     )
     assert {tuple(r) for r in pairs.collect()} == {(f"e{i:02}", f"r{i}") for i in range(len(people))} | {("e00", "x"), ("r0", "x")}
+
+
+def test_lists_decide_between_bearers(spark):
+    """An initial shared by two is the one in the request's list; an unknown person close to a known one isn't that one."""
+    given = ["Benjamin", "Bernard", "Anna", "Clara"]
+    people = [f"{g} {s}" for g in given for s in ("Belprieaini", "Skelpelaraux", "Bramflietwell", "Ostcaminoglu")]
+    entities = [(f"e{i:02}", "Person", n) for i, n in enumerate(people)]
+    asked = [(f"r{i}", "Person", n, None) for i, n in enumerate(people)]
+    asked += [("q1", "Person", "B. Belprieaini", [("Benjamin Belprieaini", ""), ("Anna Ostcaminoglu", "")]), ("q2", "Person", "B. Belprieaini", [("Bernard Belprieaini", "")]), ("q3", "Person", "Anna Skelpalaruax", [("Clara Bramflietwell", "")])]
+    pairs = link_names(
+        spark.createDataFrame(entities, "entity_id string, entity_type string, name string"), spark.createDataFrame([("e00", "b belprieaini")], "entity_id string, alias string"),
+        spark.createDataFrame(asked, "request_id string, entity_type string, mention_text string, candidates array<struct<name:string,summary:string>>"),
+    )
+    got = {tuple(r) for r in pairs.collect()}
+    assert got == {(f"e{i:02}", f"r{i}") for i in range(len(people))} | {("e00", "q1"), ("e04", "q2")}
