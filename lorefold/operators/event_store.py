@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorefold.functions.text import is_filled
+from lorefold.session import cut
 
 REQUIRED_TEXTS = ("event_id", "type", "aggregate_type", "aggregate_id", "capture_id", "provider", "model_version")
 
@@ -36,19 +37,24 @@ def append_events(log: DataFrame, arriving: DataFrame, order_by: str = "event_id
     """The rows that appending ``arriving`` adds to ``log``, with their positions.
 
     Malformed events are refused, events whose id is stored or repeated are
-    ignored. Positions go on from the last one: counts per hash bucket give each
-    bucket its offset, so numbering needs no global sort in one task.
+    ignored, the first to arrive counting. Positions go on from the last one in
+    the order of ``order_by``, ties by event id: rows are put into ranges of
+    that order, and the sizes of the ranges before give each its offset, so
+    numbering needs no sort in one task.
     """
     good, _ = split_valid(arriving)
-    fresh = good.dropDuplicates(["event_id"]).join(log.select("event_id").distinct(), "event_id", "left_anti")
+    first = good.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in good.columns if c != "event_id"]), order_by).alias("r")).select("event_id", "r.*")
+    fresh = first.join(log.select("event_id").distinct(), "event_id", "left_anti")
     start = log.agg(F.coalesce(F.max("position"), F.lit(0)).alias("start"))
-    bucket = fresh.withColumn("bucket", F.substring(F.md5(order_by), 1, 2))
-    offsets = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))  # 256 rows at most
-    within = F.row_number().over(Window.partitionBy("bucket").orderBy(order_by))
+    keys = dict.fromkeys((order_by, "event_id"))
+    ranged = cut(fresh.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.withColumn("before", F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each partition
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*keys))
     return (
-        bucket.withColumn("within", within).join(F.broadcast(offsets), "bucket").join(F.broadcast(start))
+        ranged.withColumn("within", within).join(F.broadcast(offsets), "range").join(F.broadcast(start))
         .withColumn("position", F.col("start") + F.coalesce("before", F.lit(0)) + F.col("within"))
-        .drop("bucket", "within", "n", "before", "start")
+        .drop("range", "within", "n", "before", "start")
     )
 
 

@@ -83,17 +83,17 @@ def event_validation(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, (SELECT max(position) FROM event_log WHERE aggregate_type = 'Capture') + row_number() OVER (ORDER BY substr(md5(event_id), 1, 2), event_id) AS position
-FROM (SELECT DISTINCT event_id FROM event_log WHERE event_id NOT IN (SELECT event_id FROM event_log WHERE aggregate_type = 'Capture'))
+SELECT event_id, (SELECT max(position) FROM event_log WHERE aggregate_type = 'Capture') + row_number() OVER (ORDER BY arrival, event_id) AS position
+FROM (SELECT event_id, min(position) AS arrival FROM event_log WHERE event_id NOT IN (SELECT event_id FROM event_log WHERE aggregate_type = 'Capture') GROUP BY 1)
 """)
 def event_append_idempotent(spark, sf_dir):
     log = table(spark, sf_dir, "event_log")
-    return event_store.append_events(log.filter("aggregate_type = 'Capture'"), log.drop("position")).select("event_id", "position")
+    return event_store.append_events(log.filter("aggregate_type = 'Capture'"), log.withColumnRenamed("position", "arrival"), "arrival").select("event_id", "position")
 
 
-@query("SELECT position, event_id, type FROM event_log WHERE position > 1000 ORDER BY position, event_id LIMIT 500")
+@query("SELECT position, event_id, type FROM event_log WHERE position > 1000")
 def read_forward(spark, sf_dir):
-    return event_store.read_forward(table(spark, sf_dir, "event_log").select("position", "event_id", "type"), 1000, 500)
+    return event_store.read_forward(table(spark, sf_dir, "event_log").select("position", "event_id", "type"), 1000)
 
 
 @query("SELECT aggregate_id, max(aggregate_version) + 1 AS next_version FROM event_log GROUP BY aggregate_id")

@@ -29,12 +29,13 @@ def build_session(master: str | None = None, app: str = "lorefold", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's ``spark.checkpoint.dir``; sets a private folder only where none is named."""
+    """Uses the cluster's ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
+    if sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorefold-checkpoint-"))
 
 

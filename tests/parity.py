@@ -62,7 +62,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from lorefold.session import build_session
 
-    session = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
+    session = build_session(f"local[{__import__("os").environ.get("PARITY_CPUS", "8")}]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     queries, oracle = entry.queries(), entry.oracle_sql()
     for wanted in sys.argv[2:] or queries:
