@@ -56,7 +56,7 @@ def posterior(row: np.ndarray, base: np.ndarray, like: np.ndarray, temperature:
     return odds / odds.sum()
 
 
-def mix_documents(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+def mix_documents(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer_dir: str = TOKENIZER_DIR, least_size: float = LEAST_SIZE) -> DataFrame:
     """(doc_id, source, target_source, tokens, rate, copies): how often every document is used.
 
     Documents belong to their source; those without a source (or with one that
@@ -69,8 +69,8 @@ def mix_documents(documents: DataFrame, targets: DataFrame, total_tokens: int |
     document down, each rounding error being carried on to the next.
 
     The total is ``total_tokens`` or else the largest at which every source
-    that has documents reaches its share, but at least LEAST_SIZE of the
-    corpus. Sources without documents stay at nothing. Null shares count as 0,
+    that has documents reaches its share, but at least ``least_size`` of the
+    corpus; with 0 every such source reaches its share. Sources without documents stay at nothing. Null shares count as 0,
     null ``max_repeats`` as 1; a source that is named twice has its largest
     share. Null and empty texts have no tokens and are used as often as their
     rate says. Without targets or documents there are no rows.
@@ -88,8 +88,9 @@ def mix_documents(documents: DataFrame, targets: DataFrame, total_tokens: int |
 
     labelled = rows.filter("c >= 0 AND text IS NOT NULL")
     found = labelled.count()
-    part = labelled if found <= FIT_ROWS else labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(100_000)) < int(100_000 * FIT_ROWS / found) + 1)
-    sample = part.select("text", "c").limit(FIT_ROWS).toArrow()
+    part = labelled if found <= FIT_ROWS else labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * FIT_ROWS / found) + 1)
+    # in the order of a hash, so that the bound takes no part of the table before another
+    sample = part.select("text", "c", F.xxhash64("doc_id", F.lit(1)).alias("o")).orderBy("o", "text").limit(FIT_ROWS).drop("o").toArrow()
     model = spark.sparkContext.broadcast(fit_sources(sample.column("text").to_pylist(), sample.column("c").to_pylist(), len(names)))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +121,7 @@ def mix_documents(documents: DataFrame, targets: DataFrame, total_tokens: int |
     reachable = (room > 0) & (share > 0)
     if total_tokens is None:
         full = min((room[i] / share[i] for i in np.flatnonzero(reachable)), default=have.sum())
-        total_tokens = max(full, LEAST_SIZE * have.sum())
+        total_tokens = max(full, least_size * have.sum())
     wanted = share * total_tokens
     start = np.where(have > 0, wanted / np.maximum(have, 1), 0.0)
     steps = [start]
@@ -158,19 +159,24 @@ def mix_documents(documents: DataFrame, targets: DataFrame, total_tokens: int |
 
 
 def mixture_shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, reached_share, documents, used_documents, used_tokens, most_copies): the shares really reached.
+    """(source, target_share, reached_share, share_as_target, documents, used_documents, used_tokens, most_copies): the shares really reached.
 
-    By the source that documents state; those without one are the row with a null source.
+    ``reached_share`` goes by the source that documents state; those without
+    one are the row with a null source. ``share_as_target`` goes by the source
+    that each document most likely belongs to, stated or not, which is what the
+    targets are about.
     """
     used = mixture.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), F.count_if(F.col("copies") > 0).alias("used_documents"),
         F.sum(F.col("copies") * F.col("tokens")).alias("used_tokens"), F.max("copies").alias("most_copies"),
     )
+    as_target = mixture.groupBy(F.col("target_source").alias("k")).agg(F.sum(F.col("copies") * F.col("tokens")).alias("as_target"))
     wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"))
     joined = wanted.join(used, wanted["source"].eqNullSafe(used["source"]), "full").select(
         F.coalesce(wanted["source"], used["source"]).alias("source"), "target_share", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "used_documents", "used_tokens", "most_copies")]
-    )
+    ).join(F.broadcast(as_target), F.col("source") == F.col("k"), "left")  # a row for each target
     total = joined.agg(F.sum("used_tokens").alias("all_tokens"))
+    part = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.greatest("all_tokens", F.lit(1))
     return joined.join(F.broadcast(total)).select(  # one row
-        "source", "target_share", (F.col("used_tokens") / F.greatest("all_tokens", F.lit(1))).alias("reached_share"), "documents", "used_documents", "used_tokens", "most_copies"
+        "source", "target_share", part("used_tokens").alias("reached_share"), part("as_target").alias("share_as_target"), "documents", "used_documents", "used_tokens", "most_copies"
     )

@@ -88,6 +88,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "p1_found": """
+WITH u AS (
+  SELECT DISTINCT entity_id, entity_type, embedding::DOUBLE[] AS v FROM projection_embeddings
+  WHERE model_version = 'hashvec-384-r2' AND entity_id IS NOT NULL AND entity_type IS NOT NULL AND len(embedding) = 384
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT a.entity_id AS a, b.entity_id AS b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS s
+  FROM u a JOIN u b ON a.entity_type = b.entity_type AND a.entity_id <> b.entity_id
+), k AS (
+  SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10
+)
+SELECT DISTINCT least(a, b) AS entity_a, greatest(a, b) AS entity_b FROM k WHERE s >= 0.8
+""",
     "p3_found": """
 WITH RECURSIVE ids AS (
   SELECT from_id AS id FROM projection_redirects WHERE from_id IS NOT NULL
