@@ -74,4 +74,5 @@ class Engine:
         return resolution.resolve(resolution.score_candidates(found, mentions, names), mentions)
 
     def duplicates(self) -> DataFrame:
-        return resolution.duplicate_pairs(self._table("projection_entities"), self._table("projection_aliases"))
+        """Pairs of entities that look like one, the likest first."""
+        return resolution.duplicate_pairs(self._table("projection_entities"), self._table("projection_aliases")).orderBy(F.desc("similarity"), "duplicate_id")

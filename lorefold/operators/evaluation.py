@@ -57,8 +57,8 @@ def percentile_by_rank(rows: DataFrame, group: str, value: str, fractions: dict[
     """
     counted = cut(rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")))
     parts = [i / RANGES for i in range(1, RANGES)]
-    bounds = counted.groupBy(group).agg(F.percentile_approx(value, parts, 10_000).alias("bounds"), F.sum("n").alias("all"))
-    ranged = cut(counted.join(bounds, F.col(group).eqNullSafe(bounds[group])).select(counted[group], value, "n", "all", F.size(F.filter("bounds", lambda b: b < F.col(value))).alias("range")))
+    bounds = counted.groupBy(F.col(group).alias("of")).agg(F.percentile_approx(value, parts, 10_000).alias("bounds"), F.sum("n").alias("all"))
+    ranged = cut(counted.join(bounds, F.col(group).eqNullSafe(F.col("of"))).select(group, value, "n", "all", F.size(F.filter("bounds", lambda b: b < F.col(value))).alias("range")))
     sizes = ranged.groupBy(group, "range").agg(F.sum("n").alias("in_range"), F.first("all").alias("all"))  # RANGES rows of a group at most
     before = sizes.withColumn("before", F.sum("in_range").over(Window.partitionBy(group).orderBy("range")) - F.col("in_range"))
     places = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("all") * f).alias("place")) for name, f in fractions.items()]))

@@ -49,7 +49,7 @@ class Lineage:
 
     merges: (position, event_id, survivor, loser) of the valid merges; births:
     (aggregate_id, life, entity_type, created_position), the creation that
-    counts of every life. Both are checkpointed.
+    counts of every life; it reads the checkpointed creations.
     """
 
     merges: DataFrame
@@ -90,7 +90,7 @@ def lineage(events: DataFrame) -> Lineage:
         seen = state
     merges = cut(valid.select("position", "event_id", "survivor", "loser"))
     births = _lives(creations, merges).groupBy(*_KEY).agg(F.min_by("entity_type", "position").alias("entity_type"), F.min("position").alias("created_position"))
-    return Lineage(merges, cut(births))
+    return Lineage(merges, births)
 
 
 def valid_merges(events: DataFrame) -> DataFrame:
@@ -212,12 +212,15 @@ def folded_rows(events: DataFrame, line: Lineage | None = None) -> DataFrame:
         ready = pending.join(waiting.select("event_id"), "event_id", "left_anti")
         lost = ready.select(F.col("loser").alias("aggregate_id"), F.col("loser_life").alias("life"))
         brought = _held(_settle(merged.join(lost, [*_KEY], "left_semi"), line.births))
+        # a field that is taken over keeps the pointer it had, whatever explains its single values
+        explained = brought.groupBy(*_KEY, "field").agg(F.max_by("pointer", F.when(F.col("pointer").isNotNull(), F.col("position"))).alias("pointer"))
+        brought = brought.drop("pointer").join(explained, [*_KEY, "field"])
         moved = ready.select(F.col("event_id").alias("merge_id"), "position", "aggregate_id", "life", "loser", "loser_life").join(
             brought.select(F.col("aggregate_id").alias("loser"), F.col("life").alias("loser_life"), "field", "value", "event_id", "pointer"), ["loser", "loser_life"]
         )
         merged = cut(merged.unionByName(moved.select("aggregate_id", "life", "field", "value", F.lit("Absorbed").alias("type"), "position", "event_id", "pointer", "merge_id")))
         pending, left = waiting, waiting.count()
-    return own.join(ids, [*_KEY], "left_anti").unionByName(cut(_settle(merged, line.births)))
+    return own.join(ids, [*_KEY], "left_anti").unionByName(_settle(merged, line.births))
 
 
 def fold_fields(events: DataFrame, line: Lineage | None = None) -> DataFrame:

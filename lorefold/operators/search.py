@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,10 @@ def search(texts: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
     return _ranked(hits, stats, len(phrases), limit)
 
 
+def _followed(column: str, step: int) -> Callable[[Column], Column]:
+    return lambda start: F.array_contains(F.col(column), start + step)
+
+
 def search_index(postings: DataFrame, lengths: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
     """``search`` over the postings and lengths of ``build_index``: only postings of the query's tokens are read.
 
@@ -81,15 +86,10 @@ def search_index(postings: DataFrame, lengths: DataFrame, query: str, limit: int
     )
     counts = []
     for i, phrase in enumerate(phrases):
-        at = [f"p{wanted.index(t)}" for t in phrase]
-
-        def stands(start: Column, at: list[str] = at) -> Column:
-            held = F.lit(True)
-            for step, column in enumerate(at[1:], 1):
-                held = held & F.array_contains(F.col(column), start + step)
-            return held
-
-        counts.append(F.size(F.filter(at[0], stands)).alias(f"f{i}"))
+        begins, *others = [f"p{wanted.index(t)}" for t in phrase]
+        for step, column in enumerate(others, 1):  # the places at which the next token follows too
+            begins = F.filter(begins, _followed(column, step))
+        counts.append(F.size(begins).alias(f"f{i}"))
     hits = own.select("doc_key", *counts).join(lengths.select("doc_key", F.col("length").cast("double").alias("length")), "doc_key")
     stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
     return _ranked(hits, stats, len(phrases), limit)

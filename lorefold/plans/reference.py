@@ -157,7 +157,7 @@ def _merged_levels() -> str:
     for n in range(1, _LEVELS + 1):
         out += f"""{_settled(n, source)}, up{n} AS (
   SELECT * FROM {source}
-  UNION ALL SELECT m.survivor, m.survivor_life, h.field, h.value, 'Absorbed', m.position, h.event_id, h.ptr, m.event_id FROM levels m JOIN hd{n} h ON h.aid = m.loser AND h.life = m.loser_life WHERE m.level = {n}
+  UNION ALL SELECT m.survivor, m.survivor_life, h.field, h.value, 'Absorbed', m.position, h.event_id, (SELECT arg_max(q.ptr, q.position) FILTER (q.ptr IS NOT NULL) FROM hd{n} q WHERE q.aid = h.aid AND q.life = h.life AND q.field = h.field), m.event_id FROM levels m JOIN hd{n} h ON h.aid = m.loser AND h.life = m.loser_life WHERE m.level = {n}
 ),"""
         source = f"up{n}"
     return out + _settled(_LEVELS + 1, source)

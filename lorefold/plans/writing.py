@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorefold.operators import briefs, evaluation, extraction, fold, salience, writing
+from lorefold.operators import briefs, captures, evaluation, extraction, fold, salience, writing
 from lorefold.plans.reference import _FOLD, _SALIENT, _TRIAGED, NOW, _events, _salient, _triaged, now, query
 from lorefold.sources.tables import table
 
@@ -90,11 +90,13 @@ def _redirects(spark, sf_dir):
 
 @query(_ADJUDICATED + _run("""SELECT proposal_id AS command_key, c.arrival, command_type AS type, coalesce(ff.final_id, pc.aggregate_id) AS aggregate_id,
 CASE WHEN ff.final_id IS NULL AND command_type <> 'MergeEntities' THEN aggregate_version END AS expected, pc.capture_id, proposal_id, 'human' AS provider, 'human' AS model_version
-FROM pc JOIN t USING (proposal_id) JOIN (SELECT proposal_id, min(position) AS arrival FROM event_log WHERE is_human_confirmed AND proposal_id IS NOT NULL GROUP BY 1) c USING (proposal_id) LEFT JOIN ff ON ff.id = pc.aggregate_id WHERE disposition <> 'discard'""", "true") + "SELECT proposal_id, aggregate_id, outcome, event_id, outcome = 'applied' AS is_stamped FROM done")
+FROM pc JOIN t USING (proposal_id) JOIN (SELECT proposal_id, arrival FROM pc WHERE arrival % 2 = 0) c USING (proposal_id) LEFT JOIN ff ON ff.id = pc.aggregate_id WHERE disposition <> 'discard'""", "true") + "SELECT proposal_id, aggregate_id, outcome, event_id, outcome = 'applied' AS is_stamped FROM done")
 def confirmed_proposals(spark, sf_dir):
+    """Every second queued proposal confirmed; those whose entity was merged away act on the survivor."""
     log = table(spark, sf_dir, "event_log")
-    confirmed = log.filter("is_human_confirmed AND proposal_id IS NOT NULL").select("proposal_id", F.col("position").alias("arrival"))
-    executed, queue = writing.confirm(_queue(spark, sf_dir).drop("arrival", "provider", "model_version"), confirmed, log, _redirects(spark, sf_dir), now())
+    queued = _queue(spark, sf_dir)
+    confirmed = queued.filter("arrival % 2 = 0").select("proposal_id", "arrival")
+    executed, queue = writing.confirm(queued.drop("arrival", "provider", "model_version"), confirmed, log, _redirects(spark, sf_dir), now())
     return executed.join(queue.select("proposal_id", F.col("adjudicated_at").isNotNull().alias("is_stamped")), "proposal_id").select("proposal_id", "aggregate_id", "outcome", "event_id", "is_stamped")
 
 
@@ -151,7 +153,7 @@ def _answers(spark, sf_dir):
     return rows.select(F.col("request_id").alias("capture_id"), F.to_json(F.struct(F.array(mention).alias("mentions"))).alias("answer"))
 
 
-@query(f"SELECT capture_id, 0 AS at, entity_type, trim(mention_text) AS text, 1.0 AS confidence FROM ({_SAID}) WHERE entity_type <> 'Thing' AND trim(mention_text) <> ''")
+@query(f"SELECT capture_id, 0 AS at, entity_type, trim(mention_text) AS text, 1.0::DOUBLE AS confidence FROM ({_SAID}) WHERE entity_type <> 'Thing' AND trim(mention_text) <> ''")
 def extraction_mentions(spark, sf_dir):
     return extraction.parse_extraction(_answers(spark, sf_dir))[0]
 
@@ -330,3 +332,27 @@ def snapshot_rebuild(spark, sf_dir):
     return rebuild_from_snapshot(log, folder)
 
 
+
+
+# ---- guards -----------------------------------------------------------------------------------------------------
+
+@query("""SELECT DISTINCT capture_id, CASE WHEN source = 'voice' AND raw_text LIKE 'm%' THEN 'removed' ELSE 'changed' END AS violation FROM captures
+WHERE (source = 'voice' AND raw_text LIKE 'm%') OR capture_id IN (SELECT capture_id FROM captures WHERE raw_text LIKE 'a%') AND raw_text LIKE 'a%'""")
+def append_only_guard(spark, sf_dir):
+    """Captures after some were corrected, which is allowed, some removed and some rewritten, which isn't."""
+    stored = table(spark, sf_dir, "captures").select("capture_id", "source", "raw_text", "corrected_text", "content_hash")
+    before = stored.withColumn("corrected_text", F.lit(None).cast("string"))
+    after = stored.filter(~F.coalesce((F.col("source") == "voice") & F.col("raw_text").startswith("m"), F.lit(False))).withColumn("raw_text", F.when(F.col("raw_text").startswith("a"), F.concat("raw_text", F.lit("!"))).otherwise(F.col("raw_text")))
+    return captures.append_only_violations(before, after, "capture_id", "corrected_text")
+
+
+@query("""SELECT DISTINCT capture_id, CASE WHEN source = 'voice' THEN '' ELSE 'source' END || CASE WHEN trim(raw_text, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) = '' THEN (CASE WHEN source = 'voice' THEN '' ELSE ',' END) || 'text' ELSE '' END AS violations FROM captures WHERE raw_text IS NOT NULL""")
+def request_validation(spark, sf_dir):
+    rows = table(spark, sf_dir, "captures").filter("raw_text IS NOT NULL").select("capture_id", F.when(F.col("source") == "voice", "voice").otherwise("spoken").alias("source"), F.col("raw_text").alias("text"), F.date_format("source_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("source_timestamp"))
+    return rows.select("capture_id", F.concat_ws(",", captures.request_violations()).alias("violations")).distinct()
+
+
+@query("""SELECT DISTINCT proposal_id, CASE WHEN capture_id IS NULL OR trim(capture_id) = '' THEN 'capture_id,' ELSE '' END || 'chosen_target_id' AS violations FROM event_log WHERE proposal_id IS NOT NULL""")
+def correction_validation(spark, sf_dir):
+    rows = table(spark, sf_dir, "event_log").filter("proposal_id IS NOT NULL").select("proposal_id", "capture_id", F.lit("corr-1").alias("correction_id"), F.col("type").alias("chosen_type"), F.lit(" ").alias("chosen_target_id"))
+    return rows.select("proposal_id", F.concat_ws(",", writing.correction_violations()).alias("violations")).distinct()
