@@ -293,11 +293,11 @@ def _split_log(spark, sf_dir, parts):
 
 @query(_HELD)
 def stream_catch_up(spark, sf_dir):
-    """Caught up in four batches, each folding only what it touches."""
+    """Caught up in two batches, each folding only what it touches."""
     from lorefold.streaming.catch_up import catch_up, shared_folder
 
     base = shared_folder(spark, "catch-up")
-    return catch_up(spark, _split_log(spark, sf_dir, 4), f"{base}/state", f"{base}/checkpoint", files_per_batch=1)
+    return catch_up(spark, _split_log(spark, sf_dir, 2), f"{base}/state", f"{base}/checkpoint", files_per_batch=1)
 
 
 @query(_HELD)
