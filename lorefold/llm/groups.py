@@ -10,17 +10,20 @@ from lorefold.session import cut
 #: Contraction goes on while a round removes at least this share of the edges; the rest is the core.
 WORTHWHILE = 0.2
 #: Rows of one key from which it is looked up by broadcast; there are at most MOST_HOT such keys.
-HOT_ROWS = 100_000
+HOT_ROWS = 500_000
 MOST_HOT = 10_000
 
 
-def look_up(rows: DataFrame, key: str, held: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def look_up(rows: DataFrame, key: str, held: DataFrame, at_most: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``rows`` with the other columns of ``held``, which has one row for a key; null where it has none.
 
     Keys that very many rows share, such as the centre of a star or the root of
     a giant group, aren't gathered in one task: their few rows of ``held`` are
-    broadcast, all others meet in a shuffle.
+    broadcast, all others meet in a shuffle. Of ``at_most`` rows, where that is
+    known to be few, no key can have so many.
     """
+    if at_most is not None and at_most < hot_rows:
+        return rows.join(held, key, "left")
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     counts = cut(counts.filter(F.col("n") >= hot_rows))
     total = counts.count()
@@ -98,23 +101,24 @@ def _compress_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chains.select("v", "parent"), left
 
 
-def roots_of(parents: DataFrame) -> DataFrame:
-    """Pointer doubling over a forest (v, parent): every removed vertex with its root."""
+def roots_of(parents: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Pointer doubling over a forest (v, parent) of ``at_most`` rows: every removed vertex with its root."""
     parents = cut(parents)
+    at_most = parents.count() if at_most is None else at_most
     while True:
         up = parents.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
-        jumped = cut(look_up(parents, "parent", up).select("v", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
+        jumped = cut(look_up(parents, "parent", up, at_most).select("v", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
         parents = jumped.select("v", "parent")
         if jumped.filter("moved").isEmpty():
             return parents
 
 
-def _contract_core(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _contract_core(edges: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Hangs every vertex below its smallest smaller neighbour and contracts the trees."""
-    roots = roots_of(_ends(edges).filter("low < v").select("v", F.col("low").alias("parent")))
-    by_a = look_up(edges, "a", roots.select(F.col("v").alias("a"), F.col("parent").alias("ra")))
+    roots = roots_of(_ends(edges).filter("low < v").select("v", F.col("low").alias("parent")), 2 * size)
+    by_a = look_up(edges, "a", roots.select(F.col("v").alias("a"), F.col("parent").alias("ra")), size)
     left = (
-        look_up(by_a, "b", roots.select(F.col("v").alias("b"), F.col("parent").alias("rb")))
+        look_up(by_a, "b", roots.select(F.col("v").alias("b"), F.col("parent").alias("rb")), size)
         .select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
         .filter("x <> y")
         .select(*_pair("x", "y"))
@@ -142,9 +146,10 @@ def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
     )
     edges = cut(links.filter("x <> y").select(*_pair("x", "y")).distinct())
     size, hung, core = edges.count(), [], False
+    vertices = 2 * size  # at most
     while size:
         if core:
-            parents, edges = _contract_core(edges)
+            parents, edges = _contract_core(edges, size)
             hung.append(parents)
         else:
             for step in (_strip_leaves, _compress_chains):
@@ -159,6 +164,6 @@ def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
     forest = hung[0]
     for parents in hung[1:]:
         forest = forest.unionAll(parents)
-    labelled = cut(records.join(roots_of(forest), "v", "left").select("v", F.coalesce("parent", "v").alias("root")))
+    labelled = cut(records.join(roots_of(forest, vertices), "v", "left").select("v", F.coalesce("parent", "v").alias("root")))
     smallest = labelled.groupBy("root").agg(F.min("v").alias("group_id"))
-    return look_up(labelled, "root", smallest).select(F.col("v").alias("record_id"), "group_id")
+    return look_up(labelled, "root", smallest, vertices).select(F.col("v").alias("record_id"), "group_id")

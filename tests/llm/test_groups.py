@@ -55,4 +55,4 @@ def test_hot_keys_are_looked_up_apart(spark):
     held = spark.createDataFrame([("hub", 1), *((f"k{i}", 100 + i) for i in range(0, 60, 3))], "k string, v int")
     plain = {(r.i, r.k, r.v) for r in rows.join(held, "k", "left").collect()}
     for hot_rows in (1, 5, 1000):
-        assert {(r.i, r.k, r.v) for r in look_up(rows, "k", held, hot_rows).collect()} == plain
+        assert {(r.i, r.k, r.v) for r in look_up(rows, "k", held, hot_rows=hot_rows).collect()} == plain
