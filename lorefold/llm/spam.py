@@ -52,9 +52,10 @@ SENTENCE_PART = 0.4
 #: Share of junk from which a page is spam if SIGNALS of its shares stand out, and how many must for any page.
 DOUBTFUL_SHARE = 0.35
 SIGNALS_SURE, SIGNALS_DOUBTFUL = 1, 3
-#: A share stands out that is this many robust standard deviations above its language's middle; and the least limits of each.
+#: A share stands out that is this many robust standard deviations above its language's middle; and the least and largest limits of each.
 OUTLIER_DEVIATIONS = 4.0
 LEAST_LIMITS = {"top_share": 0.1, "ngram_share": 0.08, "repeated_lines": 0.2, "link_share": 0.3, "separators": 0.3}
+MOST_LIMITS = {"top_share": 0.25, "ngram_share": 0.3, "repeated_lines": 0.5, "link_share": 0.5, "separators": 1.0}
 #: A page lacks function words below this part of its language's usual share.
 LACKING_PART = 0.75
 #: Dividing strokes a line of tags has at least, and for each of its words.
@@ -214,7 +215,7 @@ def spam_scores(documents: DataFrame) -> DataFrame:
     for r in usual.join(middle, "language", "left").collect():  # a row for each language
         again = min(max(r.middle + STUFFED_DEVIATIONS * (r.high - r.middle) / 1.2816, 0.55), 0.75) if r.middle is not None else 0.6
         limits[r.language] = (SENTENCE_PART * r.usual, again)
-        stands_out[r.language] = {"lacking": LACKING_PART * r.usual} | {c: max(LEAST_LIMITS[c], (q := r[f"q_{c}"])[0] + OUTLIER_DEVIATIONS * (q[1] - q[0]) / 1.2816) for c in _SHARES}
+        stands_out[r.language] = {"lacking": LACKING_PART * r.usual} | {c: min(max(LEAST_LIMITS[c], (q := r[f"q_{c}"])[0] + OUTLIER_DEVIATIONS * (q[1] - q[0]) / 1.2816), MOST_LIMITS[c]) for c in _SHARES}
     unknown = {"lacking": LACKING_PART * 0.4, **LEAST_LIMITS}  # a language without a text of 30 words
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
