@@ -62,9 +62,9 @@ def percentile_by_rank(rows: DataFrame, group: str, value: str, fractions: dict[
     sizes = ranged.groupBy(group, "range").agg(F.sum("n").alias("in_range"), F.first("all").alias("all"))  # RANGES rows of a group at most
     before = sizes.withColumn("before", F.sum("in_range").over(Window.partitionBy(group).orderBy("range")) - F.col("in_range"))
     places = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("all") * f).alias("place")) for name, f in fractions.items()]))
-    wanted = before.select(F.col(group).alias("g"), F.col("range").alias("r"), "before", "in_range", places.alias("p")).filter((F.col("p.place") >= F.col("before")) & (F.col("p.place") < F.col("before") + F.col("in_range")))
+    wanted = before.select(F.col(group).alias("of_group"), F.col("range").alias("of_range"), "before", "in_range", places.alias("p")).filter((F.col("p.place") >= F.col("before")) & (F.col("p.place") < F.col("before") + F.col("in_range")))
     inside = ranged.withColumn("upto", F.sum("n").over(Window.partitionBy(group, "range").orderBy(value)))
-    found = inside.join(wanted, F.col(group).eqNullSafe(F.col("g")) & (F.col("range") == F.col("r"))).filter(F.col("before") + F.col("upto") > F.col("p.place"))
+    found = inside.join(wanted, F.col(group).eqNullSafe(F.col("of_group")) & (F.col("range") == F.col("of_range"))).filter(F.col("before") + F.col("upto") > F.col("p.place"))
     picked = found.groupBy(group, F.col("p.name").alias("name")).agg(F.min(value).alias("v"))
     return picked.groupBy(group).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in fractions])
 

@@ -12,7 +12,11 @@ from lorefold.operators import briefs, captures, evaluation, extraction, resolut
 from lorefold.streaming import catch_up as projection
 from tests.test_operators import LOG, log_row
 
-NOW = F.lit("2026-06-01 12:00:00").cast("timestamp")
+
+
+def now():
+    return F.lit("2026-06-01 12:00:00").cast("timestamp")
+
 COMMANDS = "command_key string, arrival long, type string, aggregate_type string, aggregate_id string, expected_version long, payload string, proposal_id string, capture_id string, provider string, model_version string, confidence double, is_human_confirmed boolean"
 QUEUE = "proposal_id string, capture_id string, command_type string, aggregate_type string, aggregate_id string, expected_version long, payload string, disposition string, adjudicated_at timestamp"
 
@@ -24,11 +28,11 @@ def command(key, arrival, kind, aggregate, expected):
 def test_commands_follow_each_other(spark):
     log = spark.createDataFrame([log_row(3, "FieldSet", "a", {"field": "role", "value": "x"})], LOG)
     rows = [command("k1", 1, "SetField", "a", 4), command("k2", 2, "SetField", "a", 4), command("k3", 3, "ClearField", "a", 5), command("k4", 4, "Nonsense", "a", 6), command("k5", 5, "CreateEntity", "new", 0), command("k6", 6, "SetField", "a", None)]
-    done = writing.execute(spark.createDataFrame(rows, COMMANDS), log, NOW)
+    done = writing.execute(spark.createDataFrame(rows, COMMANDS), log, now())
     got = {r.command_key: (r.outcome, r.aggregate_version) for r in done.collect()}
     assert got == {"k1": ("applied", 4), "k2": ("stale", None), "k3": ("applied", 5), "k4": ("unknown_command", None), "k5": ("applied", 0), "k6": ("applied", 6)}
     assert {r.type for r in writing.events_of(done).collect()} == {"FieldSet", "FieldCleared", "EntityCreated"}
-    assert writing.execute(spark.createDataFrame([], COMMANDS), log, NOW).count() == 0
+    assert writing.execute(spark.createDataFrame([], COMMANDS), log, now()).count() == 0
 
 
 def test_confirming_and_correcting(spark):
@@ -38,14 +42,14 @@ def test_confirming_and_correcting(spark):
     ], QUEUE)
     redirects = spark.createDataFrame([("gone", "s")], "id string, final_id string")
     confirmed = spark.createDataFrame([("p1", 1), ("p1", 2), ("p2", 3), ("p3", 4), ("unknown", 5)], "proposal_id string, arrival long")
-    executed, stamped = writing.confirm(queue, confirmed, log, redirects, NOW)
+    executed, stamped = writing.confirm(queue, confirmed, log, redirects, now())
     assert {(r.proposal_id, r.aggregate_id, r.outcome, r.provider) for r in executed.collect()} == {("p1", "s", "applied", "human"), ("p3", "b", "stale", "human")}
     assert {r.proposal_id for r in stamped.filter("adjudicated_at IS NULL").collect()} == {"p3"}
     chosen = spark.createDataFrame([("p3", 1, "SetField", "Entity", "b", "{}"), ("p3", 2, "ClearField", "Entity", "b", "{}")], "proposal_id string, arrival long, type string, aggregate_type string, aggregate_id string, payload string")
     none = spark.createDataFrame([], "correction_id string")
-    executed, made = writing.correct(queue, chosen, none, log, redirects, NOW)
+    executed, made = writing.correct(queue, chosen, none, log, redirects, now())
     assert {(r.type, r.aggregate_version) for r in executed.collect()} == {("SetField", 3), ("ClearField", 4)}
-    assert writing.correct(queue, chosen, made, log, redirects, NOW)[1].count() == 0
+    assert writing.correct(queue, chosen, made, log, redirects, now())[1].count() == 0
 
 
 def test_reproposing(spark):
