@@ -11,11 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorefold.functions.edits import close_pairs
 from lorefold.functions.ids import duplicate_id
 from lorefold.functions.text import name_similarity, normalise_name
+from lorefold.session import cut
 
 #: Queries that every task holds while all vectors stream by.
 QUERIES_AT_ONCE = 4096
+#: Spellings of a block: as many at most, and fewer, down to the least, while there are up to SPREAD blocks. Tasks that
+#: pairs of blocks are shared out to.
+MOST_TEXTS, LEAST_TEXTS, SPREAD, MOST_TASKS = 16_384, 1024, 16, 1024
 # Thresholds and weights of the resolution.
 FUZZY_LEAST, DUPLICATE_LEAST, NEAREST, SHORTLIST = 0.7, 0.85, 20, 4
 WEIGHTS = {"name": 0.75, "sources": 0.1, "together": 0.1, "recency": 0.05}
@@ -39,33 +44,31 @@ def exact_candidates(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return mentions.withColumn("key", normalise_name(F.col("mention_text"))).join(keyed, ["entity_type", "key"]).select("mention_id", "entity_id").distinct()
 
 
-def _within(x: Column, y: Column, least: float) -> Column:
-    """A cheap necessary condition: lengths that a similarity of ``least`` allows."""
-    return F.abs(F.length(x) - F.length(y)) <= (1 - least) * F.greatest(F.length(x), F.length(y)) + 1e-9
-
-
 def similar_spellings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(entity_type, x, y, similarity) of distinct normalised spellings at ``least`` or above.
 
-    left: (entity_type, x), right: (entity_type, y). Pairs meet on pieces: with
-    d edits allowed at a length, one of d + 1 pieces of the shorter-or-equal
-    text stands in the other unchanged, moved by at most d. Pieces of the left
-    text are looked up among the right text's substrings at those places, so no
-    pair is lost and none is formed without a shared piece.
+    left: (entity_type, x), right: (entity_type, y). Every block of the left
+    texts meets every block of the right ones, and ``edits.close_pairs`` finds
+    the pairs of two blocks; no pair is lost.
     """
-    most = 1 - least
-    rows_l = left.filter(F.length("x") > 0).distinct().withColumn("n", F.length("x"))
-    rows_r = right.filter(F.length("y") > 0).distinct().withColumn("m", F.length("y"))
-    # edits allowed for the longest partner that a text of n may have
-    edits = F.floor(F.col("n") / (1 - most) * most + F.lit(1e-9)).cast("int")
-    pieces = rows_l.withColumn("d", edits).withColumn("k", F.least(F.col("d") + 1, F.col("n"))).select("entity_type", "x", "n", "d", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-    pieces = pieces.withColumn("a", F.floor(F.col("i") * F.col("n") / F.col("k")).cast("int")).withColumn("b", F.floor((F.col("i") + 1) * F.col("n") / F.col("k")).cast("int"))
-    pieces = pieces.select("entity_type", "x", "d", F.col("a"), (F.col("b") - F.col("a")).alias("w"), F.col("x").substr(F.col("a") + 1, F.col("b") - F.col("a")).alias("piece"))
-    widths = pieces.select("entity_type", "w").distinct()
-    grams = rows_r.join(F.broadcast(widths), "entity_type").filter("w <= m").select("entity_type", "y", "w", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("w"))).alias("at"))  # a few piece widths for each type
-    grams = grams.withColumn("piece", F.col("y").substr(F.col("at") + 1, F.col("w")))
-    met = pieces.join(grams, ["entity_type", "w", "piece"]).filter(F.abs(F.col("at") - F.col("a")) <= F.col("d")).filter(_within(F.col("x"), F.col("y"), least)).select("entity_type", "x", "y").distinct()
-    return met.withColumn("similarity", name_similarity(F.col("x"), F.col("y"))).filter(F.col("similarity") >= least)
+    texts_l = cut(left.filter((F.length("x") > 0) & F.col("entity_type").isNotNull()).distinct())
+    texts_r = cut(right.filter((F.length("y") > 0) & F.col("entity_type").isNotNull()).distinct())
+    blocks_l, blocks_r = (max(-(-rows // MOST_TEXTS), min(SPREAD, -(-rows // LEAST_TEXTS)), 1) for rows in (texts_l.count(), texts_r.count()))
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    block = lambda text, blocks: F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")
+    sides = texts_l.select("entity_type", block("x", blocks_l).alias("a"), each(blocks_r).alias("b"), "x", F.lit(None).cast("string").alias("y"))
+    sides = sides.unionAll(texts_r.select("entity_type", each(blocks_l).alias("a"), block("y", blocks_r).alias("b"), F.lit(None).cast("string").alias("x"), "y"))
+    keys = ["entity_type", "a", "b"]
+
+    def close(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        x, y = (texts.column(c).drop_null() for c in ("x", "y"))
+        found = list(close_pairs(x.to_pylist(), y.to_pylist(), least))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *(f[side] for f in found)]) for side in (0, 1))
+        return pa.table([pa.array([key[0].as_py()] * len(i), pa.string()), x.take(pa.array(i)), y.take(pa.array(j))], names=["entity_type", "x", "y"])
+
+    met = sides.repartition(min(blocks_l * blocks_r, MOST_TASKS), *keys).groupBy(*keys).applyInArrow(close, "entity_type string, x string, y string")
+    longer = F.greatest(F.length("x"), F.length("y"))
+    return met.withColumn("similarity", F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(1 - F.levenshtein("x", "y") / longer)).filter(F.col("similarity") >= least)
 
 
 def fuzzy_candidates(mentions: DataFrame, entities: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:

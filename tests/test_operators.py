@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import random
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from lorefold.functions import confidence as C
+from lorefold.functions.edits import close_pairs
 from lorefold.functions.text import name_similarity, normalise, proper_name_runs
 from lorefold.functions.vectors import cosine_distance, hash_vector
 from lorefold.operators import captures, evaluation, event_store, fold, resolution, salience, search, stores, triage
@@ -248,3 +250,39 @@ def test_stream_equals_rebuild(spark, tmp_path):
         want = fold.fold_fields(fold.read_log(frame(rows[: i + 30])))
         key = lambda d: {(r.entity_id, r.field, r.value, r.event_id) for r in d.collect()}
         assert key(state) == key(want)
+
+
+def test_close_pairs_of_any_letters():
+    rng = random.Random(4)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    left = ["".join(rng.choice("ab é😀") for _ in range(n)) for n in (0, 1, 2, 3, 5, 8, 13, 40, 63, 64, 65, 90) for _ in range(3)]
+    right = [t[:i] + rng.choice(("", "b", "éa")) + t[i + 1 :] for t in left for i in (0, len(t) // 2, len(t))]
+    for least in (0.0, 0.5, 0.7, 0.85, 1.0):
+        met = {(i, j) for a, b in close_pairs(left, right, least) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        want = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x and y and distance(x, y) <= (1 - least) * max(len(x), len(y)) + 1e-9}
+        assert want <= met and {p for p in met if len(left[p[0]]) <= 64} <= want  # longer ones are left to the caller
+
+
+def test_similar_spellings_of_many_names(spark):
+    """Names of few parts, as those of people are, in more blocks than one: the former join on pieces of two letters didn't end in six minutes."""
+    rng = random.Random(5)
+    part = lambda: "".join(rng.choice(("ka", "lo", "mi", "ren", "sto", "ve", "and")) for _ in range(3))
+    given, family = [part() for _ in range(60)], [part() for _ in range(60)]
+    names = sorted({f"{g} {f}" for g in given for f in family})
+    df = spark.createDataFrame([("t", n) for n in names] + [(None, names[0])], "entity_type string, x string")
+    began = time.time()
+    got = {(r.x, r.y): r.similarity for r in resolution.similar_spellings(df, df.withColumnRenamed("x", "y"), 0.8).collect()}
+    assert time.time() - began < 120
+    assert {(n, n) for n in names} <= set(got) and all(got[y, x] == s for (x, y), s in got.items()) and min(got.values()) >= 0.8
+    for x in names[:: len(names) // 4]:
+        pairs = spark.createDataFrame([(x, y) for y in names], "x string, y string").withColumn("s", name_similarity(F.col("x"), F.col("y"))).filter("s >= 0.8").collect()
+        assert {(r.x, r.y): r.s for r in pairs} == {p: s for p, s in got.items() if p[0] == x}
