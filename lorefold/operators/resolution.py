@@ -44,20 +44,22 @@ def exact_candidates(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return mentions.withColumn("key", normalise_name(F.col("mention_text"))).join(keyed, ["entity_type", "key"]).select("mention_id", "entity_id").distinct()
 
 
-def similar_spellings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+def similar_spellings(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
     """(entity_type, x, y, similarity) of distinct normalised spellings at ``least`` or above.
 
-    left: (entity_type, x), right: (entity_type, y). Every block of the left
+    left: (entity_type, x), right: (entity_type, y); without a right side the
+    pairs of the left one, each once with ``x <= y``. Every block of the left
     texts meets every block of the right ones, and ``edits.close_pairs`` finds
     the pairs of two blocks; no pair is lost.
     """
+    among = right is None
     texts_l = cut(left.filter((F.length("x") > 0) & F.col("entity_type").isNotNull()).distinct())
-    texts_r = cut(right.filter((F.length("y") > 0) & F.col("entity_type").isNotNull()).distinct())
+    texts_r = texts_l.withColumnRenamed("x", "y") if among else cut(right.filter((F.length("y") > 0) & F.col("entity_type").isNotNull()).distinct())
     blocks_l, blocks_r = (max(-(-rows // MOST_TEXTS), min(SPREAD, -(-rows // LEAST_TEXTS)), 1) for rows in (texts_l.count(), texts_r.count()))
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     block = lambda text, blocks: F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")
-    sides = texts_l.select("entity_type", block("x", blocks_l).alias("a"), each(blocks_r).alias("b"), "x", F.lit(None).cast("string").alias("y"))
-    sides = sides.unionAll(texts_r.select("entity_type", each(blocks_l).alias("a"), block("y", blocks_r).alias("b"), F.lit(None).cast("string").alias("x"), "y"))
+    each = lambda start, end: F.explode(F.sequence(start, end))
+    sides = texts_l.withColumn("a", block("x", blocks_l)).select("entity_type", "a", each(F.col("a") if among else F.lit(0), F.lit(blocks_r - 1)).alias("b"), "x", F.lit(None).cast("string").alias("y"))
+    sides = sides.unionAll(texts_r.withColumn("b", block("y", blocks_r)).select("entity_type", each(F.lit(0), F.col("b") if among else F.lit(blocks_l - 1)).alias("a"), "b", F.lit(None).cast("string").alias("x"), "y"))
     keys = ["entity_type", "a", "b"]
 
     def close(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
@@ -67,6 +69,9 @@ def similar_spellings(left: DataFrame, right: DataFrame, least: float) -> DataFr
         return pa.table([pa.array([key[0].as_py()] * len(i), pa.string()), x.take(pa.array(i)), y.take(pa.array(j))], names=["entity_type", "x", "y"])
 
     met = sides.repartition(min(blocks_l * blocks_r, MOST_TASKS), *keys).groupBy(*keys).applyInArrow(close, "entity_type string, x string, y string")
+    if among:  # a pair within a block is found from both sides, one of two blocks from either
+        inside = block("x", blocks_l) == block("y", blocks_l)
+        met = met.filter(~inside | (F.col("x") <= F.col("y"))).select("entity_type", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     longer = F.greatest(F.length("x"), F.length("y"))
     return met.withColumn("similarity", F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(1 - F.levenshtein("x", "y") / longer)).filter(F.col("similarity") >= least)
 
@@ -226,9 +231,9 @@ def duplicate_pairs(entities: DataFrame, aliases: DataFrame, least: float = DUPL
 
     Similarity is worked out once for each pair of distinct spellings.
     """
-    names = all_names(entities, aliases).select("entity_id", "entity_type", normalise_name(F.col("spelling")).alias("x")).distinct()
-    spellings = names.select("entity_type", "x").distinct()
-    close = similar_spellings(spellings, spellings.withColumnRenamed("x", "y"), least)
+    names = cut(all_names(entities, aliases).select("entity_id", "entity_type", normalise_name(F.col("spelling")).alias("x")).distinct())
+    close = similar_spellings(names.select("entity_type", "x"), None, least)
     pairs = names.join(close, ["entity_type", "x"]).join(names.select(F.col("entity_id").alias("other_id"), "entity_type", F.col("x").alias("y")), ["entity_type", "y"])
-    best = pairs.filter("entity_id < other_id").groupBy(F.col("entity_id").alias("survivor_id"), F.col("other_id").alias("merged_id")).agg(F.max("similarity").alias("similarity"))
+    once = (F.col("entity_id") < F.col("other_id")) | (F.col("x") < F.col("y")) & (F.col("entity_id") > F.col("other_id"))
+    best = pairs.filter(once).groupBy(F.least("entity_id", "other_id").alias("survivor_id"), F.greatest("entity_id", "other_id").alias("merged_id")).agg(F.max("similarity").alias("similarity"))
     return best.select(duplicate_id(F.col("survivor_id"), F.col("merged_id")).alias("duplicate_id"), "survivor_id", "merged_id", "similarity")

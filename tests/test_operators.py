@@ -286,3 +286,5 @@ def test_similar_spellings_of_many_names(spark):
     for x in names[:: len(names) // 4]:
         pairs = spark.createDataFrame([(x, y) for y in names], "x string, y string").withColumn("s", name_similarity(F.col("x"), F.col("y"))).filter("s >= 0.8").collect()
         assert {(r.x, r.y): r.s for r in pairs} == {p: s for p, s in got.items() if p[0] == x}
+    once = {(r.x, r.y): r.similarity for r in resolution.similar_spellings(df, None, 0.8).collect()}
+    assert once == {p: s for p, s in got.items() if p[0] <= p[1]}
