@@ -60,8 +60,8 @@ NEIGHBOUR = (3e-5, 3e-4)
 #: type (so there are 1 / COMMON_SHARE of them at most).
 PARTNERS = 3
 COMMON_SHARE = 1e-5
-#: A rare part that goes with more common words than this says nothing about two of them being one name.
-TELLING_PARTNERS = 30
+#: A familiar form shares this part of its rare parts with the full one, and so many times what chance would give.
+SHARED, CHANCE = 0.5, 2.0
 #: How much likelier a person is to be meant who stands in the request's list of candidates.
 LISTED = 30.0
 #: The same for one who doesn't, where there is a list.
@@ -224,6 +224,11 @@ def common_words(forms: DataFrame) -> tuple[dict[str, list[str]], dict[str, dict
     of two words for people, later of three for projects. A word is a familiar
     form of another if most of what it is written with is also written with
     that one, which is far more frequent: where Tilly X is, Ottilie X mostly is.
+
+    Two words that share SHARED of the rare parts of the first one share at least
+    one of its rarest ``n - ceil(SHARED n) + 1``, whichever they are. So they meet
+    there, which leaves out the rare parts that go with many words without losing
+    a pair of words, and what they share is counted over all rare parts.
     """
     clean = forms.filter(F.col("text").rlike(r"^\p{Lu}\p{Ll}+( \p{Lu}\p{Ll}+){1,2}$")).select("kind", F.split(F.lower("text"), " ").alias("w"))
     people = clean.filter("kind = 'Person' AND size(w) = 2").select("kind", F.lit(0).alias("at"), F.col("w")[0].alias("word"), F.col("w")[1].alias("rest"))
@@ -234,12 +239,20 @@ def common_words(forms: DataFrame) -> tuple[dict[str, list[str]], dict[str, dict
     total = {r.kind: r.n for r in often.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # two rows
     least = F.greatest(F.lit(PARTNERS), F.when(F.col("kind") == "Person", COMMON_SHARE * total.get("Person", 0)).otherwise(COMMON_SHARE * total.get("Project", 0)))
     words = often.groupBy("kind", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("kind", "word").collect()  # 1 / COMMON_SHARE rows of a type at most
-    telling = seen.join(seen.groupBy("kind", "at", "rest").agg(F.count(F.lit(1)).alias("words")).filter(F.col("words").between(2, TELLING_PARTNERS)).drop("words"), ["kind", "at", "rest"])
+    places = ["kind", "at"]
+    rests = seen.groupBy(*places).agg(F.countDistinct("rest").alias("rests"))
+    # only words frequent enough to be familiar or full forms
+    short = cut(seen.join(often.filter((F.col("n") >= 2) & (F.col("n") >= least * F.lit(2 / PARTNERS))), [*places, "word"]))
+    full = cut(short.filter(F.col("n") >= 2.5 * F.greatest(F.lit(2), least * F.lit(2 / PARTNERS))).select(*places, "rest", F.col("word").alias("full"), F.col("n").alias("full_n")))
+    spread = seen.groupBy(*places, "rest").agg(F.count(F.lit(1)).alias("words"))
+    rarest = Window.partitionBy(*places, "word").orderBy("words", "rest")
+    first = short.join(spread, [*places, "rest"]).withColumn("nth", F.row_number().over(rarest)).filter(F.col("nth") <= F.col("n") - F.ceil(F.lit(SHARED) * F.col("n")) + 1)
+    far_more = (F.col("full_n") >= 2.5 * F.col("n")) & (F.col("word") != F.col("full"))
+    met = first.join(full, [*places, "rest"]).filter(far_more).select(*places, "word", "full").distinct()
     shared = (
-        telling.join(telling.withColumnRenamed("word", "full"), ["kind", "at", "rest"]).filter("word <> full")
-        .groupBy("kind", "at", "word", "full").agg(F.count(F.lit(1)).alias("both"))
-        .join(often, ["kind", "at", "word"]).join(often.select("kind", "at", F.col("word").alias("full"), F.col("n").alias("full_n")), ["kind", "at", "full"])
-        .filter((F.col("both") >= 2) & (F.col("both") >= 0.5 * F.col("n")) & (F.col("full_n") >= 2.5 * F.col("n")) & (F.col("n") >= least * F.lit(2 / PARTNERS)))
+        met.join(short, [*places, "word"]).join(full, [*places, "full", "rest"])
+        .groupBy(*places, "word", "full").agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("full_n").alias("full_n")).join(F.broadcast(rests), places)  # three rows
+        .filter((F.col("both") >= 2) & (F.col("both") >= SHARED * F.col("n")) & (F.col("both") >= CHANCE * F.col("n") * F.col("full_n") / F.col("rests")))
         .groupBy("kind", "word").agg(F.max(F.struct("both", "full_n", "full")).alias("b")).select("kind", "word", F.col("b.full").alias("full"))
         .collect()  # 3 / (2 * COMMON_SHARE) rows of a type at most
     )
