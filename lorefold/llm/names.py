@@ -62,6 +62,9 @@ PARTNERS = 3
 COMMON_SHARE = 1e-5
 #: A familiar form shares this part of its rare parts with the full one, and so many times what chance would give.
 SHARED, CHANCE = 0.5, 2.0
+#: A word is a misspelling by one edit of one so many times as frequent, or in a project's name the short form of one
+#: so many times as frequent.
+MISSPELT, CUT_SHORT = 10.0, 2.5
 #: How much likelier a person is to be meant who stands in the request's list of candidates.
 LISTED = 30.0
 #: The same for one who doesn't, where there is a list.
@@ -106,6 +109,31 @@ def _one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
+def own_words(words: dict[str, int], kind: str) -> list[str]:
+    """Words less those that are likely misspellings or short forms of far more frequent ones, given how often each is seen.
+
+    The larger the tables, the more of them are seen with enough rare parts to pass for common words.
+    """
+    kept: dict[str, int] = {}
+    near: dict[str, list[str]] = defaultdict(list)
+    heads: dict[str, int] = {}
+    bare: dict[str, int] = {}
+    for w, n in sorted(words.items(), key=lambda e: (-e[1], e[0])):
+        misspelt = len(w) >= 4 and any(kept[k] >= MISSPELT * n and _one_edit(w, k) for d in deletions(w) for k in near.get(d, ()))
+        short = kind == "Project" and len(w) >= 3 and max(heads.get(w, 0), bare.get(w, 0)) >= CUT_SHORT * n
+        if misspelt or short:
+            continue
+        kept[w] = n
+        for d in deletions(w):
+            near[d].append(w)
+        for i in range(3, min(len(w), 6)):  # as ``Lexicon.match`` reads them
+            heads[w[:i]] = max(heads.get(w[:i], 0), n)
+        bare_w = re.sub("[aeiou]", "", w)
+        if bare_w != w:
+            bare[bare_w] = max(bare.get(bare_w, 0), n)
+    return list(kept)
+
+
 class Lexicon:
     """The common words of a type: given names, or the describing words of projects."""
 
@@ -224,6 +252,7 @@ def common_words(forms: DataFrame) -> tuple[dict[str, list[str]], dict[str, dict
     of two words for people, later of three for projects. A word is a familiar
     form of another if most of what it is written with is also written with
     that one, which is far more frequent: where Tilly X is, Ottilie X mostly is.
+    Misspellings and short forms of a far more frequent word aren't common words.
 
     Two words that share SHARED of the rare parts of the first one share at least
     one of its rarest ``n - ceil(SHARED n) + 1``, whichever they are. So they meet
@@ -238,7 +267,7 @@ def common_words(forms: DataFrame) -> tuple[dict[str, list[str]], dict[str, dict
     often = cut(seen.groupBy("kind", "at", "word").agg(F.count(F.lit(1)).alias("n")))
     total = {r.kind: r.n for r in often.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # two rows
     least = F.greatest(F.lit(PARTNERS), F.when(F.col("kind") == "Person", COMMON_SHARE * total.get("Person", 0)).otherwise(COMMON_SHARE * total.get("Project", 0)))
-    words = often.groupBy("kind", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("kind", "word").collect()  # 1 / COMMON_SHARE rows of a type at most
+    words = often.groupBy("kind", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()  # 1 / COMMON_SHARE rows of a type at most
     places = ["kind", "at"]
     rests = seen.groupBy(*places).agg(F.countDistinct("rest").alias("rests"))
     # only words frequent enough to be familiar or full forms
@@ -259,11 +288,11 @@ def common_words(forms: DataFrame) -> tuple[dict[str, list[str]], dict[str, dict
     learned: dict[str, dict[str, str]] = {"Person": {}, "Project": {}}
     for r in shared:
         learned[r.kind][plain(r.word)] = plain(r.full)
-    out: dict[str, list[str]] = {"Person": [], "Project": []}
+    seen_often: dict[str, dict[str, int]] = {"Person": {}, "Project": {}}
     for r in words:
         if plain(r.word) not in learned[r.kind] and not (r.kind == "Person" and plain(r.word) in NICKNAMES):
-            out[r.kind].append(plain(r.word))
-    return out, learned
+            seen_often[r.kind][plain(r.word)] = max(r.n, seen_often[r.kind].get(plain(r.word), 0))
+    return {kind: own_words(seen_often[kind], kind) for kind in seen_often}, learned
 
 
 def _less_one(rare: str) -> Column:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lorefold.llm.names import Lexicon, common_words, keys_of, keys_to, link_names, parse, skeleton
+from lorefold.llm.names import Lexicon, common_words, keys_of, keys_to, link_names, own_words, parse, skeleton
 from lorefold.llm.pii import find_personal, occurrences, redact
 from lorefold.llm.surface import KINDS, surface_spans
 from lorefold.llm.spam import spam_documents, spam_scores
@@ -186,7 +186,13 @@ def test_familiar_forms_among_rare_parts_of_many_words(spark):
     word = lambda start, i: start + letters[i // 26] + letters[i % 26]
     busy = [word("Busy", i) for i in range(10)]
     people = [f"{word('Given', g)} {b}" for g in range(40) for b in busy] + [f"Zilly {b}" for b in busy]
-    people += [f"Zottilie {r}" for r in [*busy, *(word("Rare", i) for i in range(40))]] + [f"{word('Given', i % 40)} {word('Other', i)}" for i in range(200)]
+    people += [f"Zottilie {r}" for r in [*busy, *(word("Rare", i) for i in range(40))]] + [f"{word('Given', i % 40)} {word('Other', i)}" for i in range(640)]
     words, learned = common_words(spark.createDataFrame([("Person", p) for p in people], "kind string, text string"))
     assert learned["Person"] == {"zilly": "zottilie"}
     assert set(words["Person"]) == {word("given", g) for g in range(40)} | {"zottilie"}
+
+
+def test_misspelt_words_are_no_common_words(spark):
+    words = {"rollout": 693, "rolout": 13, "relout": 2, "group": 636, "grp": 188, "prototype": 607, "proto": 180, "audit": 700, "adit": 300}
+    assert own_words(words, "Project") == ["audit", "rollout", "group", "prototype", "adit", "relout"]
+    assert own_words({"anna": 40, "ana": 30, "robert": 500, "rob": 100, "roberta": 45}, "Person") == ["robert", "rob", "anna", "ana"]
