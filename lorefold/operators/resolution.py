@@ -18,9 +18,9 @@ from lorefold.session import cut
 
 #: Queries that every task holds while all vectors stream by.
 QUERIES_AT_ONCE = 4096
-#: Spellings of a block: as many at most, and fewer, down to the least, while there are up to SPREAD blocks. Tasks that
-#: pairs of blocks are shared out to.
-MOST_TEXTS, LEAST_TEXTS, SPREAD, MOST_TASKS = 16_384, 1024, 16, 1024
+#: Spellings of a block of one type: as many at most, and fewer, down to the least, while there are up to SPREAD blocks.
+#: Small blocks cost more than they share out. Tasks that pairs of blocks are shared out to.
+MOST_TEXTS, LEAST_TEXTS, SPREAD, MOST_TASKS = 16_384, 4096, 16, 1024
 # Thresholds and weights of the resolution.
 FUZZY_LEAST, DUPLICATE_LEAST, NEAREST, SHORTLIST = 0.7, 0.85, 20, 4
 WEIGHTS = {"name": 0.75, "sources": 0.1, "together": 0.1, "recency": 0.05}
@@ -44,6 +44,12 @@ def exact_candidates(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return mentions.withColumn("key", normalise_name(F.col("mention_text"))).join(keyed, ["entity_type", "key"]).select("mention_id", "entity_id").distinct()
 
 
+def blocks_of(texts: DataFrame) -> dict[str, int]:
+    """Blocks that the texts of a type are split into, of the types that have more than one."""
+    rows = texts.groupBy("entity_type").count().filter(F.col("count") > LEAST_TEXTS).collect()  # a row for LEAST_TEXTS texts at most
+    return {r["entity_type"]: max(-(-r["count"] // MOST_TEXTS), min(SPREAD, -(-r["count"] // LEAST_TEXTS))) for r in rows}
+
+
 def similar_spellings(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
     """(entity_type, x, y, similarity) of distinct normalised spellings at ``least`` or above.
 
@@ -55,11 +61,14 @@ def similar_spellings(left: DataFrame, right: DataFrame | None, least: float) ->
     among = right is None
     texts_l = cut(left.filter((F.length("x") > 0) & F.col("entity_type").isNotNull()).distinct())
     texts_r = texts_l.withColumnRenamed("x", "y") if among else cut(right.filter((F.length("y") > 0) & F.col("entity_type").isNotNull()).distinct())
-    blocks_l, blocks_r = (max(-(-rows // MOST_TEXTS), min(SPREAD, -(-rows // LEAST_TEXTS)), 1) for rows in (texts_l.count(), texts_r.count()))
-    block = lambda text, blocks: F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")
+    blocks_l = blocks_of(texts_l)
+    blocks_r = blocks_l if among else blocks_of(texts_r)
+    blocks = lambda of: F.coalesce(F.create_map(*(F.lit(v) for kv in of.items() for v in kv))[F.col("entity_type")], F.lit(1)) if of else F.lit(1)
+    block = lambda text, of: F.pmod(F.xxhash64(text), blocks(of)).cast("int")
     each = lambda start, end: F.explode(F.sequence(start, end))
-    sides = texts_l.withColumn("a", block("x", blocks_l)).select("entity_type", "a", each(F.col("a") if among else F.lit(0), F.lit(blocks_r - 1)).alias("b"), "x", F.lit(None).cast("string").alias("y"))
-    sides = sides.unionAll(texts_r.withColumn("b", block("y", blocks_r)).select("entity_type", each(F.lit(0), F.col("b") if among else F.lit(blocks_l - 1)).alias("a"), "b", F.lit(None).cast("string").alias("x"), "y"))
+    sides = texts_l.withColumn("a", block("x", blocks_l)).select("entity_type", "a", each(F.col("a") if among else F.lit(0), blocks(blocks_r) - 1).alias("b"), "x", F.lit(None).cast("string").alias("y"))
+    sides = sides.unionAll(texts_r.withColumn("b", block("y", blocks_r)).select("entity_type", each(F.lit(0), F.col("b") if among else blocks(blocks_l) - 1).alias("a"), "b", F.lit(None).cast("string").alias("x"), "y"))
+    tasks = sum(blocks_l.get(t, 1) * blocks_r.get(t, 1) for t in {*blocks_l, *blocks_r}) + SPREAD  # the types of one block share SPREAD tasks
     keys = ["entity_type", "a", "b"]
 
     def close(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
@@ -68,7 +77,7 @@ def similar_spellings(left: DataFrame, right: DataFrame | None, least: float) ->
         i, j = (np.concatenate([np.zeros(0, np.int64), *(f[side] for f in found)]) for side in (0, 1))
         return pa.table([pa.array([key[0].as_py()] * len(i), pa.string()), x.take(pa.array(i)), y.take(pa.array(j))], names=["entity_type", "x", "y"])
 
-    met = sides.repartition(min(blocks_l * blocks_r, MOST_TASKS), *keys).groupBy(*keys).applyInArrow(close, "entity_type string, x string, y string")
+    met = sides.repartition(min(tasks, MOST_TASKS), *keys).groupBy(*keys).applyInArrow(close, "entity_type string, x string, y string")
     if among:  # a pair within a block is found from both sides, one of two blocks from either
         inside = block("x", blocks_l) == block("y", blocks_l)
         met = met.filter(~inside | (F.col("x") <= F.col("y"))).select("entity_type", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -96,7 +105,7 @@ def nearest_candidates(queries: DataFrame, embeddings: DataFrame, k: int = NEARE
     and nulls, don't take part.
     """
     spark = queries.sparkSession
-    asked = queries.filter("mention_id IS NOT NULL AND entity_type IS NOT NULL AND vector IS NOT NULL").select("mention_id", "entity_type", F.col("vector").cast("array<double>").alias("vector"))
+    asked = cut(queries.filter("mention_id IS NOT NULL AND entity_type IS NOT NULL AND vector IS NOT NULL").select("mention_id", "entity_type", F.col("vector").cast("array<double>").alias("vector")))
     rows = embeddings.filter("entity_id IS NOT NULL AND embedding IS NOT NULL").select("entity_id", "entity_type", F.col("embedding").cast("array<double>").alias("embedding"))
     chunks = -(-asked.count() // QUERIES_AT_ONCE)
     found = None
@@ -129,12 +138,18 @@ def _nearest_of_block(blocks, k: int, batches: Iterator[pa.RecordBatch]) -> Iter
             names, asked = blocks.value[key]
             own = vectors.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).reshape(len(places), key[1])
             lengths = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(own, axis=1)[None]
+            far = asked @ own.T
             with np.errstate(divide="ignore", invalid="ignore"):
-                far = np.round(np.where(lengths > 0, 1 - asked @ own.T / lengths, 2.0), 9)
+                far /= lengths
+            np.subtract(1, far, out=far)
+            far[~(lengths > 0)] = 2.0
             bound = np.partition(far, min(k, len(places)) - 1, axis=1)[:, min(k, len(places)) - 1]
-            at, to = np.nonzero(far <= bound[:, None])
+            at, to = np.nonzero(far <= bound[:, None] + 2e-9)  # what may round to the bound; only that is rounded
+            near = np.round(far[at, to], 9)
+            ties = near <= np.round(bound, 9)[at]
+            at, to, near = at[ties], to[ties], near[ties]
             own_ids = ids.take(pa.array(places)).to_pylist()
-            out.append(([names[i] for i in at], [own_ids[j] for j in to], far[at, to].tolist()))
+            out.append(([names[i] for i in at], [own_ids[j] for j in to], near.tolist()))
         columns = [[x for part in out for x in part[c]] for c in range(3)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["mention_id", "entity_id", "distance"])
 
