@@ -24,7 +24,11 @@ def normalise_name(name: Column) -> Column:
 
 def name_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length of the normalised names; 1 if equal, 0 if either is empty."""
-    x, y = normalise_name(a), normalise_name(b)
+    return text_similarity(normalise_name(a), normalise_name(b))
+
+
+def text_similarity(x: Column, y: Column) -> Column:
+    """``name_similarity`` of names that are normalised already."""
     return (
         F.when((F.length(x) == 0) | (F.length(y) == 0), F.lit(0.0))
         .when(x == y, F.lit(1.0))

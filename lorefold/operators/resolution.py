@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lorefold.functions.edits import close_pairs
 from lorefold.functions.ids import duplicate_id
-from lorefold.functions.text import name_similarity, normalise_name
+from lorefold.functions.text import normalise_name, text_similarity
 from lorefold.session import cut
 
 #: Queries that every task holds while all vectors stream by.
@@ -189,10 +189,9 @@ def score_candidates(candidates: DataFrame, mentions: DataFrame, names: DataFram
     last contact to the note; negative ones say nothing) are used if the
     candidates have them.
     """
-    best = (
-        candidates.select("mention_id", "entity_id").join(mentions.select("mention_id", "mention_text"), "mention_id").join(names.select("entity_id", "spelling"), "entity_id")
-        .groupBy("mention_id", "entity_id").agg(F.max(name_similarity(F.col("mention_text"), F.col("spelling"))).alias("name_similarity"))
-    )
+    texts = mentions.select("mention_id", normalise_name(F.col("mention_text")).alias("x")).distinct()
+    spelt = names.select("entity_id", normalise_name(F.col("spelling")).alias("y")).distinct()
+    best = candidates.select("mention_id", "entity_id").join(texts, "mention_id").join(spelt, "entity_id").groupBy("mention_id", "entity_id").agg(F.max(text_similarity(F.col("x"), F.col("y"))).alias("name_similarity"))
     has = set(candidates.columns)
     unit = lambda c: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     together = unit(F.col("together")) if "together" in has else F.lit(0.0)

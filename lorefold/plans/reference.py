@@ -576,22 +576,29 @@ def _sources(spark, sf_dir):
     return cut(found), exact, names, asked
 
 
-def _scored(spark, sf_dir):
+def _together(spark, sf_dir):
+    """Candidates of all sources with what their notes' other mentions say; what of the log is read for that and for contacts, and its lineage."""
     found, exact, names, asked = _sources(spark, sf_dir)
     places = table(spark, sf_dir, "adjudication_requests").filter("mention_text IS NOT NULL").select(F.concat_ws("|", "entity_type", "mention_text").alias("mention_id"), "capture_id")
     resolved = exact.groupBy("mention_id").agg(F.min("entity_id").alias("entity_id"))
-    events = _events(spark, sf_dir)
+    # creations and merges settle the lives of entities; of all other writes only the relations and the contacts count here
+    events = cut(_events(spark, sf_dir).filter("type IN ('EntityCreated', 'EntitiesMerged') OR relation IS NOT NULL OR field = 'last_contact_at'"))
     line = fold.lineage(events)
-    together = resolution.co_occurrence(found, places, resolved, fold.fold_relations(events, line))
-    contact = fold.fold_fields(events, line).filter("field = 'last_contact_at' AND value LIKE 'd:%'").groupBy("entity_id").agg(F.max(F.try_to_timestamp(F.substring_index(F.substring("value", 3, 1 << 20), "|", 1))).alias("last_contact"))
+    return found, resolution.co_occurrence(found, places, resolved, fold.fold_relations(events, line)), events, line, exact, names, asked
+
+
+def _scored(spark, sf_dir):
+    found, together, events, line, exact, names, asked = _together(spark, sf_dir)
+    # a field is folded by itself
+    contact = fold.fold_fields(events.filter("field = 'last_contact_at'"), line).filter("field = 'last_contact_at' AND value LIKE 'd:%'").groupBy("entity_id").agg(F.max(F.try_to_timestamp(F.substring_index(F.substring("value", 3, 1 << 20), "|", 1))).alias("last_contact"))
     days = contact.select("entity_id", (F.datediff(now(), F.col("last_contact"))).cast("double").alias("days_since_contact"))
     featured = found.join(together, ["mention_id", "entity_id"], "left").join(days, "entity_id", "left")
-    return cut(resolution.score_candidates(featured, asked, names).withColumn("score", F.round("score", 9))), asked
+    return cut(resolution.score_candidates(featured, asked, names).withColumn("score", F.round("score", 9))), asked, exact
 
 
 @query(_RESOLVE + "SELECT mention_id, entity_id, round(together, 9) AS together FROM tg")
 def co_occurrence(spark, sf_dir):
-    return _scored(spark, sf_dir)[0].filter("together IS NOT NULL").select("mention_id", "entity_id", F.round("together", 9).alias("together"))
+    return _together(spark, sf_dir)[1].select("mention_id", "entity_id", F.round("together", 9).alias("together"))
 
 
 @query(_RESOLVE + """, o AS (SELECT m.mention_id, m.x, coalesce(score, 0) AS s, r.entity_id, coalesce(score >= 0.55 AND round(coalesce(score - runner_up, (score - 0.55) / 0.45), 7) < 0.15, false) AS unsure FROM men m LEFT JOIN ranked r ON m.mention_id = r.mention_id AND choice = 1),
@@ -600,7 +607,7 @@ SELECT mention_id, CASE WHEN s < 0.35 THEN 'unambiguous' WHEN s < 0.55 OR (unsur
 CASE WHEN s >= 0.55 AND NOT unsure THEN entity_id WHEN unsure THEN (SELECT q.entity_id FROM ranked q WHERE q.mention_id = a.mention_id AND q.choice = a.answer AND a.answer BETWEEN 1 AND options) END AS entity_id FROM a""")
 def resolution_adjudicated(spark, sf_dir):
     """Ambiguous mentions decided by an answer; here a port that answers by the length of the id, so also none and out of range."""
-    scored, asked = _scored(spark, sf_dir)
+    scored, asked, _ = _scored(spark, sf_dir)
     out = resolution.resolve(scored, asked).withColumn("is_ambiguous", F.coalesce((F.col("outcome") == "matched") & (F.round("margin", 7) < resolution.CLEAR_MARGIN), F.lit(False)))
     answers = asked.select("mention_id", (F.length("mention_id") % 6).alias("choice")).distinct()
     return resolution.adjudicate(out, resolution.shortlist(scored), answers).select("mention_id", "outcome", "entity_id")
@@ -638,7 +645,7 @@ def resolution_scores(spark, sf_dir):
 @query(_RESOLVE + """SELECT m.mention_id, CASE WHEN coalesce(score, 0) < 0.35 THEN 'unambiguous' WHEN score < 0.55 THEN 'rejected_candidates' ELSE 'matched' END AS outcome,
 CASE WHEN score >= 0.55 THEN entity_id END AS entity_id, coalesce(score >= 0.55 AND round(coalesce(round(score, 9) - round(runner_up, 9), (round(score, 9) - 0.55) / 0.45), 7) < 0.15, false) AS is_ambiguous FROM men m LEFT JOIN ranked r ON m.mention_id = r.mention_id AND choice = 1""")
 def resolution_outcome(spark, sf_dir):
-    scored, asked = _scored(spark, sf_dir)
+    scored, asked, _ = _scored(spark, sf_dir)
     out = resolution.resolve(scored, asked)
     return out.select("mention_id", "outcome", "entity_id", F.coalesce((F.col("outcome") == "matched") & (F.round("margin", 7) < resolution.CLEAR_MARGIN), F.lit(False)).alias("is_ambiguous"))
 
@@ -654,9 +661,8 @@ v AS (SELECT count(*) FILTER (expected_id = actual_id) AS right_match, count(*)
   count(*) FILTER (expected_id IS NULL AND actual_id IS NOT NULL) AS false_match, count(*) FILTER (expected_id IS NULL AND actual_id IS NULL) AS right_none FROM o)
 SELECT *, round(right_match / (right_match + wrong_match + missed), 9) AS match_accuracy, round(right_none / (right_none + false_match), 9) AS none_accuracy FROM v""")
 def resolution_metrics(spark, sf_dir):
-    scored, asked = _scored(spark, sf_dir)
-    entities, aliases, _ = _parties(spark, sf_dir)
-    exact = resolution.exact_candidates(asked, resolution.all_names(entities, aliases)).groupBy("mention_id").agg(F.min("entity_id").alias("expected_id"))
+    scored, asked, exact = _scored(spark, sf_dir)
+    exact = exact.groupBy("mention_id").agg(F.min("entity_id").alias("expected_id"))
     rows = resolution.resolve(scored, asked).select("mention_id", F.col("entity_id").alias("actual_id"), F.col("is_ambiguous").alias("was_adjudicated")).join(exact, "mention_id", "left")
     return evaluation.resolution_metrics(rows).select("right_match", "wrong_match", "missed", "false_match", "right_none", F.round("match_accuracy", 9).alias("match_accuracy"), F.round("none_accuracy", 9).alias("none_accuracy"))
 
