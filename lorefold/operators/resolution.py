@@ -108,21 +108,24 @@ def nearest_candidates(queries: DataFrame, embeddings: DataFrame, k: int = NEARE
     asked = cut(queries.filter("mention_id IS NOT NULL AND entity_type IS NOT NULL AND vector IS NOT NULL").select("mention_id", "entity_type", F.col("vector").cast("array<double>").alias("vector")))
     rows = embeddings.filter("entity_id IS NOT NULL AND embedding IS NOT NULL").select("entity_id", "entity_type", F.col("embedding").cast("array<double>").alias("embedding"))
     chunks = -(-asked.count() // QUERIES_AT_ONCE)
+    order = Window.partitionBy("mention_id").orderBy("distance", "entity_id")
     found = None
     for chunk in range(chunks):
         part = asked if chunks == 1 else asked.filter(F.pmod(F.xxhash64("mention_id"), F.lit(chunks)) == chunk)
-        held: dict[tuple[str, int], tuple[list[str], list]] = {}
-        for row in part.toArrow().to_pylist():  # about QUERIES_AT_ONCE
-            names, vectors = held.setdefault((row["entity_type"], len(row["vector"])), ([], []))
-            names.append(row["mention_id"])
-            vectors.append(row["vector"])
-        blocks = spark.sparkContext.broadcast({key: (names, np.array(vectors, np.float64)) for key, (names, vectors) in held.items()})
+        names, types, vectors = (c.combine_chunks() for c in part.select("mention_id", "entity_type", "vector").toArrow().columns)  # about QUERIES_AT_ONCE
+        held: dict[tuple[str, int], list[int]] = {}
+        for i, key in enumerate(zip(types.to_pylist(), pc.list_value_length(vectors).to_pylist(), strict=True)):
+            held.setdefault(key, []).append(i)
+        blocks = spark.sparkContext.broadcast(
+            {key: (names.take(pa.array(at)).to_pylist(), vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), key[1])) for key, at in held.items()}
+        )
         near = rows.mapInArrow(partial(_nearest_of_block, blocks, k), "mention_id string, entity_id string, distance double")
+        near = cut(near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth"))
+        blocks.destroy()  # one at a time is held
         found = near if found is None else found.unionAll(near)
     if found is None:
         return spark.createDataFrame([], "mention_id string, entity_id string, distance double")
-    order = Window.partitionBy("mention_id").orderBy("distance", "entity_id")
-    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")
+    return found
 
 
 def _nearest_of_block(blocks, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
