@@ -46,6 +46,8 @@ AMBIGUOUS = frozenset(
 )
 _PARTICLES = ("van", "von", "de", "der", "del", "da")
 _NO_WORDS = ("so", "al", "an")
+#: Kinds of words that make a name.
+_NAMING = frozenset("GAgSs")
 #: Private characters that stand for a found span, and for the edge of a text, in the row of words.
 _MASKS, _EDGE = "\ue001\ue002\ue003\ue004\ue005", "\ue000"
 
@@ -135,6 +137,7 @@ class Reader(dict):
         self.classes: list[int] = []
         self.asked: list[tuple[int, ...]] = []
         self.known: list[dict[int, float]] = []
+        self.kinds_known: list[str] = []
         self.fixed = {c: digest(c) for c in ("<title>", "<initial>", "<given>", "<rare>")}
 
     def __missing__(self, token: str) -> int:
@@ -166,11 +169,17 @@ class Reader(dict):
         self[token] = len(self)
         return len(self) - 1
 
+    def labelled(self) -> list[str]:
+        """What every word is by the labels that all tasks hold."""
+        for code in range(len(self.kinds_known), len(self)):
+            self.kinds_known.append(_labelled_kind(self.kinds[code], self.forms[code], self.known[code], {}))
+        return self.kinds_known
+
     def rows(self, texts: list[str], flats: list[list[int]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
         """Numbers of the words of all texts, two edges after each; where each text begins; its three patterns at every word; and which of these say nothing."""
         if len(self) > 500_000:
             self.clear()
-            self.kinds, self.forms, self.classes, self.asked, self.known = [], [], [], [], []
+            self.kinds, self.forms, self.classes, self.asked, self.known, self.kinds_known = [], [], [], [], [], []
         flat: list[str] = [_EDGE, _EDGE]
         starts = []
         for text, spans in zip(texts, flats, strict=True):
@@ -268,6 +277,12 @@ def _texts(captures: DataFrame) -> DataFrame:
     return both[0].unionAll(both[1]).filter("capture_id IS NOT NULL AND text IS NOT NULL").distinct()
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """The lists of a column of numbers, a null as an empty one; ``to_pylist`` takes each number by itself."""
+    values, ends = column.values.to_numpy().tolist(), column.offsets.to_numpy().tolist()
+    return [values[a:b] if a < b else [] for a, b in zip(ends, ends[1:])]  # noqa: B905 (each end with the next)
+
+
 _SURFACE = "capture_id string, text_field string, text string, flat array<int>, codes array<long>"
 
 
@@ -275,12 +290,18 @@ def _with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the surface spans of a text as start, end and number of the kind, one after the other, and its open candidates."""
     for batch in batches:
         flats, codes = [], []
+        flat_ends, code_ends = [0], [0]
         for text in batch.column("text").to_pylist():
             runs = digit_runs(text)
             spans = surface_spans(text, runs)
-            flats.append([x for span in spans for x in span])
-            codes.append(candidates(text, spans, runs))
-        columns = [*(batch.column(n) for n in ("capture_id", "text_field", "text")), pa.array(flats, pa.list_(pa.int32())), pa.array(codes, pa.list_(pa.int64()))]
+            for span in spans:
+                flats += span
+            flat_ends.append(len(flats))
+            if runs:
+                codes += candidates(text, spans, runs)
+            code_ends.append(len(codes))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(held, t)) for ends, held, t in ((flat_ends, flats, pa.int32()), (code_ends, codes, pa.int64()))]
+        columns = [*(batch.column(n) for n in ("capture_id", "text_field", "text")), *lists]
         yield pa.RecordBatch.from_arrays(columns, names=["capture_id", "text_field", "text", "flat", "codes"])
 
 
@@ -345,13 +366,20 @@ def _bloom(labels: DataFrame) -> np.ndarray:
 def _tallied(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """How often each pair of form and pattern occurs."""
     form, pattern = (np.concatenate([k[i] for k in pairs]) if pairs else np.zeros(0, np.int64) for i in range(2))
-    _, first, counts = np.unique(_mixed(form.view(np.uint64), pattern.view(np.uint64), 7), return_index=True, return_counts=True)
+    pair = _mixed(form.view(np.uint64), pattern.view(np.uint64), 7)
+    order = np.argsort(pair)  # np.unique with places sorts stably, which takes many times as long
+    pair = pair[order]
+    begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1]]))
+    first, counts = order[begins], np.diff(begins, append=len(pair))
     return pa.RecordBatch.from_arrays([pa.array(form[first]), pa.array(pattern[first]), pa.array(counts.astype(np.int64))], names=["form", "pattern", "n"])
 
 
-def find_personal(captures: DataFrame, people: DataFrame, projects: DataFrame) -> DataFrame:
+def find_personal(captures: DataFrame, people: DataFrame, projects: DataFrame, *, whole: bool = True) -> DataFrame:
     """(capture_id, text_field, text, spans): every text with array<struct<kind, start_pos, end_pos>>.
 
+    Not ``whole``: (capture_id, text_field, pii_kind, start_pos), the same as
+    ``occurrences`` of it, without the texts and spans going through the JVM.
+
     Bootstrapping, over the whole corpus. Seeds of emails, phone and identity
     numbers and addresses are what their grammars and labels decide, written
     and spoken; shapes of numbers and words of streets that no grammar takes
@@ -414,7 +442,7 @@ def find_personal(captures: DataFrame, people: DataFrame, projects: DataFrame) -
     def seed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names_ = batch.column("surname").to_pylist()
-            keys = [(digest(s), digest(k), len(s) > 4) for s in names_ for k in (deletions(s) if len(s) > 4 else (s,))]
+            keys = [(h, digest(k), long) for s in names_ for h, long in [(digest(s), len(s) > 4)] for k in (deletions(s) if long else (s,))]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in keys], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["surname", "key", "long"])
 
     surnames = cut(forms.select("text").mapInArrow(seeds, "surname string").distinct())
@@ -457,7 +485,7 @@ def find_personal(captures: DataFrame, people: DataFrame, projects: DataFrame) -
         held: list[tuple[np.ndarray, np.ndarray]] = []
         reader = Reader(given, frequent.value, common=common.value)
         for batch in batches:
-            codes, _, patterns, dull = reader.rows(batch.column("text").to_pylist(), batch.column("flat").to_pylist())
+            codes, _, patterns, dull = reader.rows(batch.column("text").to_pylist(), _lists(batch.column("flat")))
             many = np.array([len(f) for f in reader.forms], np.int64)
             first = np.array([f[0] if f else 0 for f in reader.forms], np.int64)
             for pattern, says_nothing in zip(patterns, dull, strict=True):
@@ -473,9 +501,13 @@ def find_personal(captures: DataFrame, people: DataFrame, projects: DataFrame) -
 
     # only words that are neither seeds nor ruled out change in the rounds; what seeds give a pattern is summed up once
     standing = F.when(F.col("never"), "n").when(F.col("score") >= NAME_CONFIDENCE, "s").otherwise("o")
+    # the pairs of a form are brought together once, for the counts and for the join; those of the form that common words share are spread by pattern
+    place = F.when(F.col("form") == 0, F.col("pattern")).otherwise(F.col("form"))
     met = (
-        texts.select("text", "flat").mapInArrow(contexts, "form long, pattern long, n long").groupBy("form", "pattern").agg(F.sum("n").alias("n"))
-        .join(marks.select("form", standing.alias("standing")).hint("shuffle_hash"), "form", "left")
+        texts.select("text", "flat").mapInArrow(contexts, "form long, pattern long, n long").withColumn("place", place).repartition("place")
+        .groupBy("place", "form", "pattern").agg(F.sum("n").alias("n"))
+        .join(marks.select(F.col("form").alias("place"), standing.alias("standing")).hint("shuffle_hash"), "place", "left")
+        .select("form", "pattern", "n", F.when(F.col("form") != 0, F.col("standing")).alias("standing"))
         .persist(StorageLevel.MEMORY_AND_DISK)  # read twice right below; what is lost with an executor is worked out again
     )
     patterns = cut(
@@ -510,8 +542,8 @@ def find_personal(captures: DataFrame, people: DataFrame, projects: DataFrame) -
         labels = Labels(*held_labels.value)
         reader = Reader(given, frequent.value, labels)
         for batch in batches:
-            names_, fields, codes_ = (batch.column(n).to_pylist() for n in ("capture_id", "text_field", "codes"))
-            tokens, starts, patterns_, _ = reader.rows(batch.column("text").to_pylist(), batch.column("flat").to_pylist())
+            names_, fields, codes_ = batch.column("capture_id").to_pylist(), batch.column("text_field").to_pylist(), _lists(batch.column("codes"))
+            tokens, starts, patterns_, _ = reader.rows(batch.column("text").to_pylist(), _lists(batch.column("flat")))
             own: dict[int, set[int]] = {}
             for at, row in _decided(reader, tokens, starts):
                 keys = [*reader.asked[tokens[at]], *(k for p in patterns_ if labels.may_have(k := int(p[at])))]
@@ -540,44 +572,63 @@ def find_personal(captures: DataFrame, people: DataFrame, projects: DataFrame) -
         hot = labels.hot
         reader = Reader(given, frequent.value, labels)
         for batch in batches:
-            texts_, flats, codes_, pairs_ = (batch.column(n).to_pylist() for n in ("text", "flat", "codes", "labels"))
+            texts_, flats, codes_ = batch.column("text").to_pylist(), _lists(batch.column("flat")), _lists(batch.column("codes"))
+            owns = _own_labels(batch.column("labels"))
             tokens, starts, patterns_, _ = reader.rows(texts_, flats)
-            kind_of = np.array(reader.kinds)
-            decided: dict[int, list[int]] = {}
-            for at, row in _decided(reader, tokens, starts):
-                decided.setdefault(row, []).append(at)
-            ends, kinds_out, starts_out, stops_out = [0], [], [], []
+            kinds_ = reader.labelled()
+            open_ = np.array([k in _NAMING or bool(owns and a) for k, a in zip(kinds_, reader.asked, strict=True)], bool)
+            places = np.flatnonzero(open_[tokens])
+            ends, around = np.searchsorted(places, starts).tolist(), list(zip(*[p[places].tolist() for p in patterns_], strict=True))
+            places, tokens, starts = places.tolist(), tokens.tolist(), starts.tolist()
+            rows_out, kinds_out, starts_out, stops_out = [], [], [], []
             for row, (text, flat, codes) in enumerate(zip(texts_, flats, codes_, strict=True)):
-                own = {p["k"]: p["v"] for p in pairs_[row]} if pairs_[row] else {}
-                everything = [(flat[i], flat[i + 1], flat[i + 2]) for i in range(0, len(flat), 3)]
+                named = range(ends[row], ends[row + 1])
+                if not (flat or codes or named):
+                    continue
+                own = owns.get(row, {})
                 fresh = decide_codes(codes, own, hot) if codes else []
-                if row in decided:
-                    first = int(starts[row])
-                    kinds = kind_of[tokens[first : int(starts[row + 1]) - 2]].tolist()
+                if named:
+                    first = starts[row]
+                    mine = tokens[first : starts[row + 1] - 2]
+                    kinds = [kinds_[t] for t in mine]
                     trust = {}
-                    for at in decided[row]:
-                        code = tokens[at]
-                        kind = kinds[at - first] = _labelled_kind(kinds[at - first], reader.forms[code], reader.known[code], own)
-                        if kind in "Ags":
-                            trust[at - first] = max([own.get(k, hot.get(k, 0.0)) for k in [int(p[at]) for p in patterns_]])
-                    if not {"G", "A", "g", "S", "s"}.isdisjoint(kinds):
+                    for j in named:
+                        at = places[j] - first
+                        if own:
+                            kinds[at] = _labelled_kind(reader.kinds[mine[at]], reader.forms[mine[at]], reader.known[mine[at]], own)
+                        if kinds[at] in "Ags":
+                            trust[at] = max([own.get(k, hot.get(k, 0.0)) for k in around[j]])
+                    if not _NAMING.isdisjoint(kinds):
                         streets = [f for f in fresh if f[2] == ADDRESS]  # a learned street gives way to a name
                         fresh = [f for f in fresh if f[2] != ADDRESS] + [(a, b, len(KINDS)) for a, b in decode_names(text, list(_WORD.finditer(masked(text, flat) if flat else text)), kinds, trust)] + streets
+                everything = [(flat[i], flat[i + 1], flat[i + 2]) for i in range(0, len(flat), 3)]
                 if fresh:
-                    everything += [(a, b, k) for i, (a, b, k) in enumerate(fresh) if not any(a < y and x < b for x, y, _ in everything + fresh[:i])]
+                    everything += [(a, b, k) for i, (a, b, k) in enumerate(fresh) if not any([a < y and x < b for x, y, _ in everything + fresh[:i]])]
                 for a, b, k in sorted(everything):
                     if k != OTHER:
+                        rows_out.append(row)
                         kinds_out.append(k)
                         starts_out.append(a)
                         stops_out.append(b)
-                ends.append(len(kinds_out))
             names_ = pa.array([*KINDS, "person_name"]).take(pa.array(kinds_out, pa.int32()))
-            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names_, pa.array(starts_out, pa.int64()), pa.array(stops_out, pa.int64())], names=["kind", "start_pos", "end_pos"]))
-            yield pa.RecordBatch.from_arrays([batch.column("capture_id"), batch.column("text_field"), batch.column("text"), spans], names=["capture_id", "text_field", "text", "spans"])
+            starts_, stops_ = pa.array(starts_out, pa.int64()), pa.array(stops_out, pa.int64())
+            if whole:
+                ends = pa.array(np.searchsorted(np.array(rows_out, np.int64), np.arange(len(texts_) + 1)), pa.int32())
+                spans = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([names_, starts_, stops_], names=["kind", "start_pos", "end_pos"]))
+                yield pa.RecordBatch.from_arrays([batch.column("capture_id"), batch.column("text_field"), batch.column("text"), spans], names=["capture_id", "text_field", "text", "spans"])
+            else:
+                at_ = pa.array(rows_out, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("capture_id").take(at_), batch.column("text_field").take(at_), names_, starts_], names=["capture_id", "text_field", "pii_kind", "start_pos"])
 
-    return texts.join(cold, ["capture_id", "text_field"], "left").select("capture_id", "text_field", "text", "flat", "codes", "labels").mapInArrow(
-        decode, "capture_id string, text_field string, text string, spans array<struct<kind:string,start_pos:bigint,end_pos:bigint>>"
-    )
+    schema = "capture_id string, text_field string, text string, spans array<struct<kind:string,start_pos:bigint,end_pos:bigint>>" if whole else "capture_id string, text_field string, pii_kind string, start_pos bigint"
+    return texts.join(cold, ["capture_id", "text_field"], "left").select("capture_id", "text_field", "text", "flat", "codes", "labels").mapInArrow(decode, schema)
+
+
+def _own_labels(column: pa.ListArray) -> dict[int, dict[int, float]]:
+    """The labels of a text that were joined, by row."""
+    values, ends = column.values, column.offsets.to_numpy()
+    keys, trust = (values.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(2))
+    return {row: dict(zip(keys[ends[row] : ends[row + 1]], trust[ends[row] : ends[row + 1]], strict=True)) for row in np.flatnonzero(np.diff(ends)).tolist()}
 
 
 def _decided(reader: Reader, tokens: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -12,7 +12,7 @@ from lorefold.llm.names import link_names
 from lorefold.llm.neighbours import close_pairs
 from lorefold.llm.mixing import mix_documents, mixture_shares
 from lorefold.llm.packing import pack_documents, packing_report
-from lorefold.llm.pii import find_personal, occurrences, redact
+from lorefold.llm.pii import find_personal, redact
 from lorefold.llm.spam import spam_documents
 from lorefold.sources.tables import table
 
@@ -29,7 +29,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(table(spark, sf_dir, "projection_redirects"), "from_id", "to_id")
 
 
-def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _personal(spark: SparkSession, sf_dir: str, *, whole: bool = True) -> DataFrame:
     entities = table(spark, sf_dir, "projection_entities")
     requests = table(spark, sf_dir, "adjudication_requests")
     aliases = table(spark, sf_dir, "projection_aliases").join(entities.filter("entity_type = 'Person'").select("entity_id").distinct(), "entity_id", "left_semi")
@@ -39,11 +39,11 @@ def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionAll(requests.filter("entity_type = 'Person'").select("mention_text")).unionAll(listed.filter("entity_type = 'Person'").select("text"))
     )
     projects = entities.filter("entity_type = 'Project'").select(F.col("name").alias("text")).unionAll(listed.filter("entity_type = 'Project'").select("text"))
-    return find_personal(table(spark, sf_dir, "captures"), people, projects)
+    return find_personal(table(spark, sf_dir, "captures"), people, projects, whole=whole)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occurrences(_personal(spark, sf_dir))
+    return _personal(spark, sf_dir, whole=False)
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:

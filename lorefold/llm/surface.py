@@ -51,8 +51,6 @@ _FLAT = re.compile(r"(?<!\w)(?:flat|apt\.?|apartment|unit) \d+[a-z]?,? $", _I)
 _FLAT_SIGNS = ("flat", "apt", "apartment", "unit")
 _NUMBER_FIRST = re.compile(rf"(?<!\w)\d{{1,4}}[a-z]?,? (?:[nsew]\.? |(?:north|south|east|west) )?(?!{_NO_NAME}\b)[^\W\d_][\w'’]*(?: (?!{_NO_NAME}\b)[^\W\d_][\w'’]*)?,? {_STREET}\b(?! (?:fair|food))\.?(?:,? apt\.? \d+[a-z]?)?", _I)
 _NUMBER_FIRST_FR = re.compile(r"(?<!\w)\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.?|bd\.?|boulevard|quai|allée|impasse|place|chemin|cours|passage|route)(?: (?:de la|de l'|des|du|de))?\s?[^\W\d_][\w'’-]*", _I)
-_STREET_SIGNS = tuple(f" {w}" for w in _STREET_WORDS)
-_STREET_SIGNS_FR = ("rue", "av", "bd", "boulevard", "quai", "allée", "impasse", "place", "chemin", "cours", "passage", "route")
 _STREET_FIRST = (
     (("calle", "avenida", "avda", "av.", "paseo", "pza", "plaza", "camino", "ronda", "travesía", "c/"), re.compile(r"(?<!\w)(?:(?:calle|avenida|avda\.?|av\.|paseo|plaza|pza\.?|camino|ronda|travesía)(?: del| de la| de los| de las| de) [^\W\d_][\w'-]*|c/ ?(?:[^\W\d_][\w'-]*\.? ){0,3}[^\W\d_][\w'-]*),? \d{1,4}(?:,? \d{1,2} ?º ?[a-z]?\b)?", _I)),
     (("am ", "an der", "im ", "zum", "zur", "auf der", "alte", "unter den", "hinter der"), re.compile(r"(?<!\w)(?:am|an der|im|zum|zur|auf der|alte[rs]?|unter den|hinter der) [^\W\d_]{4,} \d{1,4}[a-z]?\b(?![:./]\d)(?:,? \d{5} [^\W\d_][\w-]+)?", _I)),
@@ -72,7 +70,6 @@ _SPOKEN_PHONE = re.compile(rf"(?<!\w){_SPOKEN}{{6,}}", _I)
 _DIGIT_WORDS = frozenset(_DIGIT.split("|"))
 _AT_SIGN = re.compile(r"@|[(\[]at[)\]]", _I)
 _RUN = re.compile(r"\d+")
-_DIGIT_SIGN = re.compile(r"\d")
 _SIX_DIGITS = re.compile(r"\d(?:[ ./()-]{0,3}\d){5}")
 _NUMBER = re.compile(r"(?<![\w.,/+€$£-])\+?\(?\d(?:[ ./()-]{0,2}\d){6,}(?: ?-? ?[A-Z](?!\w))?(?![\w])")
 _PREFIX = re.compile(r"(?<!\w)[A-Z]{1,2} ?$")
@@ -130,9 +127,8 @@ def _spans(text: str, low: str, runs: list[int]) -> Iterator[tuple[int, int, int
         for m in _SPOKEN_EMAIL.finditer(text):
             yield *m.span(), EMAIL
     digits = bool(runs) and _SIX_DIGITS.search(text, runs[0]) is not None
-    said = 0
-    if not _DIGIT_WORDS.isdisjoint(low.replace("-", " ").split()):
-        said = sum(w in _DIGIT_WORDS for w in re.split(r"[ ,.\-\n]+", low))
+    words = low.replace("-", " ").replace(",", " ").replace(".", " ").replace("\n", " ").split(" ")
+    said = 0 if _DIGIT_WORDS.isdisjoint(words) else sum(map(_DIGIT_WORDS.__contains__, words))
     if (digits or said >= 5 or runs and "pass" in low) and any([s in low for s in _LABEL_SIGNS]):
         for m in _LABELLED_ID.finditer(text):
             written = sum(c.isdigit() for c in m["code"])
@@ -151,10 +147,10 @@ def _spans(text: str, low: str, runs: list[int]) -> Iterator[tuple[int, int, int
         for m in _SPOKEN_ID.finditer(text):
             yield *m.span(), ID
     if runs:
-        for m in _at(_NUMBER_FIRST, text, runs) if any([s in low for s in _STREET_SIGNS]) else ():
+        for m in _at(_NUMBER_FIRST, text, runs):
             flat = _FLAT.search(text, max(0, m.start() - 24), m.start()) if any([s in low for s in _FLAT_SIGNS]) else None
             yield flat.start() if flat else m.start(), m.end(), ADDRESS
-        for m in _at(_NUMBER_FIRST_FR, text, runs) if any([s in low for s in _STREET_SIGNS_FR]) else ():
+        for m in _at(_NUMBER_FIRST_FR, text, runs):
             yield *m.span(), ADDRESS
         for signs, pattern in _STREET_FIRST:
             if any([s in low for s in signs]):
@@ -178,7 +174,7 @@ def _spans(text: str, low: str, runs: list[int]) -> Iterator[tuple[int, int, int
 
 def digit_runs(text: str) -> list[int]:
     """Where runs of digits start."""
-    return [m.start() for m in _RUN.finditer(text)] if _DIGIT_SIGN.search(text) else []
+    return [m.start() for m in _RUN.finditer(text)]
 
 
 def surface_spans(text: str, runs: list[int] | None = None) -> list[tuple[int, int, int]]:

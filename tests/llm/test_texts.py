@@ -112,6 +112,17 @@ def test_unlisted_surname(spark, others):
     assert got == {(f"c{i:02}", "person_name", 5) for i in range(len(notes))}
 
 
+def test_occurrences_alone(spark):
+    """What p4_found reads without texts and spans is what ``occurrences`` gives, phone numbers said with commas alone among them."""
+    people = [(f"{g} {s}",) for g in ("Bernard", "Anna", "Clara", "Quentin") for s in ("Feningoreira", "Skelpelaraux", "Bramfliet", "Ostcaminoglu")]
+    notes = [f"Call {n} back on 555-0142." for (n,) in people] + ["Mail ann@post.example, then Anna at 12 Larch Street", "said one,two,three,four,five,six,seven", "nothing here", "", None]
+    args = (spark.createDataFrame([(f"c{i}", t, t and t.upper()) for i, t in enumerate(notes)], "capture_id string, raw_text string, corrected_text string"), spark.createDataFrame(people, "text string"), spark.createDataFrame([], "text string"))
+    alone = find_personal(*args, whole=False)
+    got = sorted(alone.collect())
+    assert alone.columns == ["capture_id", "text_field", "pii_kind", "start_pos"] and got == sorted(occurrences(find_personal(*args)).collect())
+    assert ("c17", "raw_text", "phone", 5) in got and {k for _, _, k, _ in got} == {"email", "phone", "address", "person_name"}
+
+
 def test_parse():
     lexicon = Lexicon(["christopher", "quentin", "augustine"], {})
     for text in ("Quentin Feningoreira", "FENINGOREIRA, Quentin", "Dr Quentin K. Fening-oreira", "quentin fenin goreira"):
